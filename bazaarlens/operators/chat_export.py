@@ -13,7 +13,7 @@ def occurrence_keys(msgs: DataFrame, chat: Column, position: Column) -> DataFram
     """Adds `occurrence` (0-based, per header, sender and body) and the synthetic `key`. Expects header, sender, ident.
 
     Repeats of one message may fill a chat, so the counter runs in chunks of the position."""
-    counted = chunked.row_number(msgs, ["header", "sender", "ident"], [position], chunked.by_rows(position),
-                                 "occurrence")
+    line = chunked.Line(["header", "sender", "ident"], [position], chunked.by_rows(position))
+    counted = chunked.row_number(msgs, line, "occurrence")
     return counted.withColumn("occurrence", F.col("occurrence") - 1).withColumn(
         "key", ids.occurrence_hash(chat, F.col("header"), F.col("sender"), F.col("ident"), F.col("occurrence")))

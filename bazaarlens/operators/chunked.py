@@ -1,33 +1,23 @@
 """Ordered operators that survive a hot key.
 
-A plain window sorts one key's rows in one task. These helpers cut each key into chunks that are monotone in the order
-(a day of a time line, a block of line numbers), run the window inside (key, chunk), reduce each chunk to one row, run
-the window over that far smaller table, and join the two. The result equals the plain window's exactly.
+A plain window sorts one key's rows in one task: the cheapest plan while keys are small, and a dead end when one key
+holds a third of the table. So the size of the largest key is measured first. Where it is small the plain window is
+used. Otherwise each key is cut into chunks that are monotone in the order (a day of a time line, a block of line
+numbers), the window runs inside (key, chunk), each chunk is reduced to one row, the window runs over that far smaller
+table, and the two are joined. Both plans give the same rows.
 
 `chunk` must be a function of the first order column that never decreases with it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-
-
-def _cells(keys: list[str]) -> list[str]:
-    return [*keys, CHUNK]
-
-
-def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach each chunk's carried value. Null keys must meet too, so the join is null-safe."""
-    renamed = carry.select(*[F.col(k).alias(f"_c_{k}") for k in _cells(keys)],
-                           *[c for c in carry.columns if c not in _cells(keys)])
-    on = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in _cells(keys)]
-    cond = on[0]
-    for extra in on[1:]:
-        cond = cond & extra
-    return df.join(renamed, cond, "left").drop(*[f"_c_{k}" for k in _cells(keys)])
+HOT_ROWS = 2_000_000  # rows of one key that one task may sort
 
 
 def by_days(ts: Column, days: int = 1) -> Column:
@@ -38,45 +28,134 @@ def by_rows(position: Column, rows: int = 65536) -> Column:
     return F.floor(position / rows)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, chunk: Column, out: str
-                ) -> DataFrame:
-    """Inclusive running sum of `value` per key in `order`."""
-    marked = df.withColumn(CHUNK, chunk).withColumn("_v", value)
-    inside = Window.partitionBy(*_cells(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy(*_cells(keys)).agg(F.sum("_v").alias("_t"))
-    carry = totals.select(*_cells(keys), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
-    local = marked.withColumn("_s", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return _with_carry(local, carry, keys).withColumn(out, F.col("_s") + F.col("_carry")).drop(
+def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some key has more than `hot_rows` rows. One aggregate over the key columns; one row comes back."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > hot_rows).limit(1).count() > 0
+
+
+@dataclass(frozen=True)
+class Line:
+    """A key, its order, and how to cut it. `hot` None means measure."""
+    keys: list[str]
+    order: list[Column]
+    chunk: Column
+    hot: bool | None = None
+
+    def measured(self, df: DataFrame) -> Line:
+        return self if self.hot is not None else Line(self.keys, self.order, self.chunk, has_hot_key(df, self.keys))
+
+    def reversed(self) -> Backward:
+        return Backward(self.keys, self.order, self.chunk, self.hot)
+
+    def sorting(self) -> list[Column]:
+        return self.order
+
+    def cells(self) -> list[str]:
+        return [*self.keys, CHUNK]
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(CHUNK, self.chunk)
+
+    def within(self, hot: bool):
+        keys = self.cells() if hot else self.keys
+        return Window.partitionBy(*keys).orderBy(*self.sorting())
+
+    def over_chunks(self):
+        return Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(self, value: str) -> Column:
+        return F.max_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)]))
+
+
+class Backward(Line):
+    def sorting(self) -> list[Column]:
+        return [o.desc() for o in self.order]
+
+    def over_chunks(self):
+        return Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(self, value: str) -> Column:
+        return F.min_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)]))
+
+
+def _with_carry(df: DataFrame, carry: DataFrame, line: Line) -> DataFrame:
+    """Attach each chunk's carried value. Null keys must meet too, so the join is null-safe."""
+    cells = line.cells()
+    renamed = carry.select(*[F.col(k).alias(f"_c_{k}") for k in cells], *[c for c in carry.columns if c not in cells])
+    on = F.lit(True)
+    for k in cells:
+        on = on & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    return df.join(renamed, on, "left").drop(*[f"_c_{k}" for k in cells])
+
+
+def running_sum(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame:
+    """Inclusive running sum of `value` per key."""
+    line = line.measured(df)
+    frame = line.within(line.hot).rowsBetween(Window.unboundedPreceding, 0)
+    if not line.hot:
+        return df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    marked = line.cut(df).withColumn("_v", value)
+    totals = marked.groupBy(*line.cells()).agg(F.sum("_v").alias("_t"))
+    carry = totals.select(*line.cells(), F.coalesce(F.sum("_t").over(line.over_chunks()), F.lit(0)).alias("_carry"))
+    local = marked.withColumn("_s", F.coalesce(F.sum("_v").over(frame), F.lit(0)))
+    return _with_carry(local, carry, line).withColumn(out, F.col("_s") + F.col("_carry")).drop(
         CHUNK, "_v", "_s", "_carry")
 
 
-def row_number(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, out: str) -> DataFrame:
-    """1-based position per key; `order` must be total for a stable answer."""
-    marked = df.withColumn(CHUNK, chunk)
-    inside = Window.partitionBy(*_cells(keys)).orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy(*_cells(keys)).agg(F.count(F.lit(1)).alias("_t"))
-    carry = totals.select(*_cells(keys), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
-    local = marked.withColumn("_s", F.row_number().over(inside))
-    return _with_carry(local, carry, keys).withColumn(out, F.col("_s") + F.col("_carry")).drop(CHUNK, "_s", "_carry")
+def row_number(df: DataFrame, line: Line, out: str) -> DataFrame:
+    """1-based position per key; the order must be total for a stable answer."""
+    line = line.measured(df)
+    place = F.row_number().over(line.within(line.hot)).cast("long")
+    if not line.hot:
+        return df.withColumn(out, place)
+    marked = line.cut(df)
+    totals = marked.groupBy(*line.cells()).agg(F.count(F.lit(1)).alias("_t"))
+    carry = totals.select(*line.cells(), F.coalesce(F.sum("_t").over(line.over_chunks()), F.lit(0)).alias("_carry"))
+    return _with_carry(marked.withColumn("_s", place), carry, line).withColumn(
+        out, F.col("_s") + F.col("_carry")).drop(CHUNK, "_s", "_carry")
+
+
+def prefix_max(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame:
+    """The largest `value` among the rows before this one; null on a key's first row."""
+    line = line.measured(df)
+    frame = line.within(line.hot).rowsBetween(Window.unboundedPreceding, -1)
+    if not line.hot:
+        return df.withColumn(out, F.max(value).over(frame))
+    marked = line.cut(df).withColumn("_v", value)
+    tops = marked.groupBy(*line.cells()).agg(F.max("_v").alias("_t"))
+    carry = tops.select(*line.cells(), F.max("_t").over(line.over_chunks()).alias("_carry"))
+    local = marked.withColumn("_s", F.max("_v").over(frame))
+    return _with_carry(local, carry, line).withColumn(out, F.greatest("_s", "_carry")).drop(
+        CHUNK, "_v", "_s", "_carry")
 
 
-def previous(df: DataFrame, keys: list[str], order: list[Column], value: Column, chunk: Column, out: str,
-             skip_nulls: bool = False) -> DataFrame:
-    """The value of the row before (`lag`), or with `skip_nulls` the last non-null value before."""
-    boxed = F.struct(value.alias("v"))
+def previous(df: DataFrame, line: Line, value: Column, out: str, skip_nulls: bool = False) -> DataFrame:
+    """The value of the row before (`lag`), or with `skip_nulls` the last non-null value before. On a reversed line
+    that is the row after."""
+    line = line.measured(df)
+    frame = line.within(line.hot).rowsBetween(Window.unboundedPreceding, -1)
+    boxed = F.struct(value.alias("v"))  # a box keeps a null value apart from a missing row
     if skip_nulls:
         boxed = F.when(value.isNotNull(), boxed)
-    marked = df.withColumn(CHUNK, chunk).withColumn("_v", boxed)
-    inside = Window.partitionBy(*_cells(keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    lasts = marked.where(F.col("_v").isNotNull()).groupBy(*_cells(keys)).agg(F.max_by("_v", place).alias("_t"))
-    every = marked.select(*_cells(keys)).distinct() if skip_nulls else None
-    if every is not None:
-        lasts = _with_carry(every, lasts, keys)
-    carry = lasts.select(*_cells(keys), F.last("_t", ignorenulls=True).over(before).alias("_carry"))
-    local = marked.withColumn("_s", F.last("_v", ignorenulls=True).over(inside))
-    return _with_carry(local, carry, keys).withColumn(out, F.coalesce("_s", "_carry")["v"]).drop(
+    if not line.hot:
+        return df.withColumn(out, F.last(boxed, ignorenulls=True).over(frame)["v"])
+    marked = line.cut(df).withColumn("_v", boxed)
+    lasts = marked.groupBy(*line.cells()).agg(line.last("_v").alias("_t"))
+    if skip_nulls:
+        filled = marked.where(F.col("_v").isNotNull()).groupBy(*line.cells()).agg(line.last("_v").alias("_t"))
+        lasts = _with_carry(marked.select(*line.cells()).distinct(), filled, line)
+    carry = lasts.select(*line.cells(), F.last("_t", ignorenulls=True).over(line.over_chunks()).alias("_carry"))
+    local = marked.withColumn("_s", F.last("_v", ignorenulls=True).over(frame))
+    return _with_carry(local, carry, line).withColumn(out, F.coalesce("_s", "_carry")["v"]).drop(
         CHUNK, "_v", "_s", "_carry")
+
+
+def trailing_count(df: DataFrame, keys: list[str], at: Column, width: int, out: str) -> DataFrame:
+    """How many rows of the key lie in (at - width, at], for an integer time column. Every row is also shown to the
+    next cell of the time line, so one task sees two widths of one key and no more."""
+    marked = df.withColumn("_at", at).withColumn("_home", F.floor(F.col("_at") / width))
+    shown = marked.withColumn(CHUNK, F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+    frame = Window.partitionBy(*keys, CHUNK).orderBy("_at").rangeBetween(1 - width, 0)
+    return (shown.withColumn(out, F.count(F.lit(1)).over(frame)).where(F.col(CHUNK) == F.col("_home"))
+            .drop("_at", "_home", CHUNK))

@@ -63,6 +63,32 @@ VIEWS = {
                     ELSE 'connecting' END AS state,
                CASE WHEN value < 5 THEN 'shutdown' END AS detail, CASE WHEN value > 50 THEN ts END AS last_message_at
         FROM events""",
+    "v_image": """
+        SELECT event_id AS image_id, user_id AS post_id, CAST(dayofyear(ts) AS INTEGER) AS segment_idx, event_id AS seq,
+               640 AS width, 480 AS height,
+               list_transform(range(event_id % 5), lambda i: {
+                 'x1': CAST(floor(value) + i * 20 AS DOUBLE), 'y1': CAST(event_id % 50 + i * 10 AS DOUBLE),
+                 'x2': CAST(floor(value) + i * 20 + 60 + (event_id + i) % 9 * 7 AS DOUBLE),
+                 'y2': CAST(event_id % 50 + i * 10 + 40 + (event_id * 3 + i) % 7 * 5 AS DOUBLE),
+                 'conf': ((event_id * 7 + i * 31) % 100) / 100.0::DOUBLE}) AS dets,
+               CASE WHEN event_id % 6 = 1 THEN event_id % 10 + 36 END AS tag_size,
+               CASE WHEN event_id % 5 = 2 THEN 'Brand#' || (event_id % 25 + 1) END AS tag_brand
+        FROM events""",
+    "v_boxed": """
+        SELECT *, list_max(list_transform(dets, lambda d: d.conf)) AS best_conf, len(dets) > 2 AS multi_item,
+               CASE WHEN len(b) > 0 THEN [
+                 greatest(0, trunc(b[1] - (b[3] - b[1]) * 0.08)), greatest(0, trunc(b[2] - (b[4] - b[2]) * 0.08)),
+                 least(width, round_even(b[3] + (b[3] - b[1]) * 0.08, 0)),
+                 least(height, round_even(b[4] + (b[4] - b[2]) * 0.08, 0))] END AS box
+        FROM (SELECT *, CASE
+                WHEN len(dets) = 0 THEN []
+                WHEN len(dets) <= 2 THEN [list_min(list_transform(dets, lambda d: d.x1)),
+                  list_min(list_transform(dets, lambda d: d.y1)), list_max(list_transform(dets, lambda d: d.x2)),
+                  list_max(list_transform(dets, lambda d: d.y2))]
+                ELSE [dets[at].x1, dets[at].y1, dets[at].x2, dets[at].y2] END AS b
+              FROM (SELECT *, list_position(areas, list_max(areas)) AS at
+                    FROM (SELECT *, list_transform(dets, lambda d: (d.x2 - d.x1) * (d.y2 - d.y1)) AS areas
+                          FROM v_image)))""",
     "v_text": """
         SELECT 'd' || doc_id AS id, text FROM documents
         UNION ALL SELECT 'p' || page_id, html FROM pages
@@ -95,6 +121,7 @@ NEEDS = {
     "v_listing_vec": ("v_listing",),
     "v_wishlist_vec": ("v_wishlist",),
     "v_doc_image": ("v_hash",),
+    "v_boxed": ("v_image",),
 }
 
 

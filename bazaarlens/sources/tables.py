@@ -171,3 +171,23 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out:
     """The first n rows per key. Spark turns the filter into a per-task group limit ahead of the shuffle, so a hot
     key ships at most n rows per task."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n)
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """Photos with detections from the event stream: a user is a post, a day a segment, 0 to 4 boxes a photo."""
+    e = load_table(spark, folder, "events")
+    eid = F.col("event_id")
+
+    def det(i: Column) -> Column:
+        x1, y1 = F.floor("value") + i * 20, eid % 50 + i * 10
+        corners = (x1, y1, x1 + 60 + (eid + i) % 9 * 7, y1 + 40 + (eid * 3 + i) % 7 * 5)
+        return F.struct(F.array(*[c.cast("double") for c in corners]).alias("box"),
+                        ((eid * 7 + i * 31) % 100 / 100).alias("conf"), F.lit("shoe").alias("cls"))
+
+    count = (eid % 5).cast("int")
+    dets = F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), count), lambda i: det(i))
+    return e.select(
+        eid.alias("image_id"), F.col("user_id").alias("post_id"), F.dayofyear("ts").alias("segment_idx"),
+        eid.alias("seq"), F.lit(640).alias("width"), F.lit(480).alias("height"), dets.alias("dets"),
+        F.when(eid % 6 == 1, (eid % 10 + 36).cast("decimal(4,1)")).alias("tag_size"),
+        F.when(eid % 5 == 2, F.concat(F.lit("Brand#"), (eid % 25 + 1).cast("string"))).alias("tag_brand"))
