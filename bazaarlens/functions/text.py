@@ -28,14 +28,21 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(F.when(plain, text), compose(F.when(~plain, text)))
 
 
-def casefold(text: Column) -> Column:
-    """Full Unicode case folding; differs from `lower` only outside ASCII, so only those rows carry text to Python."""
+def caption_form(text: Column) -> Column:
+    """NFKC, single spaces, case-folded: the form in which two captions are equal. Folding and NFKC differ from `lower`
+    only outside ASCII, so only such rows carry text to Python."""
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
-        return s.map(str.casefold, na_action="ignore")
+        return s.map(lambda v: " ".join(unicodedata.normalize("NFKC", v).split()).casefold(), na_action="ignore")
 
     plain = ~text.rlike("[^\\x00-\\x7F]")
-    return F.coalesce(F.when(plain, F.lower(text)), fold(F.when(~plain, text)))
+    return F.coalesce(F.when(plain, F.lower(squeeze(text))), fold(F.when(~plain, text)))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`. Naming a column is not enough: the optimizer copies an expression
+    into every place that mentions it, and a regex chain copied ten times runs ten times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def squeeze(text: Column) -> Column:

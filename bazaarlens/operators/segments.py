@@ -23,17 +23,15 @@ def is_captioned(caption: Column) -> Column:
     return F.coalesce(caption.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
-def same_caption_form(caption: Column) -> Column:
-    """The form in which two captions count as equal."""
-    return tx.casefold(tx.squeeze(tx.nfkc(caption)))
+def post_line(msgs: DataFrame) -> Line:
+    return Line(["post_id"], [F.col("seq")], chunked.by_rows(F.col("seq"))).measured(msgs)
 
 
-def image_runs(msgs: DataFrame, hot: bool | None = None) -> DataFrame:
+def image_runs(msgs: DataFrame, line: Line) -> DataFrame:
     """Photos with `run`: a captioned photo whose caption differs from the last captioned one starts a run; photos
     before the first caption belong to run 1. Expects post_id, seq, kind, caption, image_id (null when missing)."""
-    line = Line(["post_id"], [F.col("seq")], chunked.by_rows(F.col("seq")), hot).measured(msgs)
     photos = msgs.where(F.col("kind") == "image").withColumn(
-        "_form", F.when(is_captioned(F.col("caption")), same_caption_form(F.col("caption"))))
+        "_form", F.when(is_captioned(F.col("caption")), tx.caption_form(F.col("caption"))))
     seen = chunked.previous(photos, line, F.col("_form"), "_last", skip_nulls=True)
     starts = F.col("_form").isNotNull() & ~F.col("_form").eqNullSafe(F.col("_last"))
     runs = chunked.running_sum(seen.withColumn("_start", starts), line, F.col("_start").cast("int"), "_runs")
@@ -48,27 +46,28 @@ def run_table(runs: DataFrame) -> DataFrame:
         F.max("run_caption").alias("segment_caption"), F.count("image_id").alias("n_images"))
 
 
-def number_segments(table: DataFrame, hot: bool | None = None) -> DataFrame:
+def number_segments(table: DataFrame, hot: bool | None) -> DataFrame:
     """Dense 0-based `segment_idx` over the runs that have a usable photo."""
     line = Line(["post_id"], [F.col("run")], chunked.by_rows(F.col("run")), hot)
     kept = chunked.row_number(table.where("n_images > 0"), line, "_place")
     return kept.withColumn("segment_idx", F.col("_place") - 1).drop("_place")
 
 
-def segment_posts(msgs: DataFrame, hot: bool | None = None) -> DataFrame:
+def segment_posts(msgs: DataFrame, line: Line | None = None) -> DataFrame:
     """One row per usable photo: its segment and the segment's caption."""
-    runs = image_runs(msgs, hot)
-    segments = number_segments(run_table(runs), hot).select("post_id", "run", "segment_idx", "segment_caption")
+    line = line or post_line(msgs)
+    runs = image_runs(msgs, line)
+    segments = number_segments(run_table(runs), line.hot).select("post_id", "run", "segment_idx", "segment_caption")
     usable = runs.where(F.col("image_id").isNotNull()).drop("caption", "run_caption", "kind")
     return usable.join(segments, ["post_id", "run"]).drop("run")
 
 
-def post_extra_text(msgs: DataFrame, hot: bool | None = None) -> DataFrame:
+def post_extra_text(msgs: DataFrame, line: Line | None = None) -> DataFrame:
     """One row per post with text outside its segments: text messages by position, then the captions of runs that
     kept no photo. A post longer than the ingest limit gets no text and is flagged, so no group is unbounded."""
     said = msgs.where((F.col("kind") == "text") & (strip(F.col("caption")) != "")).select(
         "post_id", F.lit(0).alias("part"), F.col("seq").cast("long").alias("at"), strip(F.col("caption")).alias("text"))
-    lost = run_table(image_runs(msgs, hot)).where("n_images = 0 AND segment_caption <> ''").select(
+    lost = run_table(image_runs(msgs, line or post_line(msgs))).where("n_images = 0 AND segment_caption <> ''").select(
         "post_id", F.lit(1).alias("part"), F.col("run").cast("long").alias("at"),
         F.col("segment_caption").alias("text"))
     pieces = first_rows(said.unionByName(lost), ["post_id"], [F.col("part"), F.col("at")], MAX_POST_MESSAGES + 1)

@@ -85,8 +85,8 @@ VIEWS = {
                 WHEN len(dets) <= 2 THEN [list_min(list_transform(dets, lambda d: d.x1)),
                   list_min(list_transform(dets, lambda d: d.y1)), list_max(list_transform(dets, lambda d: d.x2)),
                   list_max(list_transform(dets, lambda d: d.y2))]
-                ELSE [dets[at].x1, dets[at].y1, dets[at].x2, dets[at].y2] END AS b
-              FROM (SELECT *, list_position(areas, list_max(areas)) AS at
+                ELSE [dets[big].x1, dets[big].y1, dets[big].x2, dets[big].y2] END AS b
+              FROM (SELECT *, list_position(areas, list_max(areas)) AS big
                     FROM (SELECT *, list_transform(dets, lambda d: (d.x2 - d.x1) * (d.y2 - d.y1)) AS areas
                           FROM v_image)))""",
     "v_text": """

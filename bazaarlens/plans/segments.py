@@ -50,8 +50,8 @@ def segment_posts(spark, folder):
 
 
 @query("post_extra_text", RUNS + """
-    SELECT post_id, string_agg(text, chr(10) ORDER BY part, at) AS extra_text
-    FROM (SELECT post_id, 0 AS part, seq AS at, trim(caption) AS text FROM v_post_messages
+    SELECT post_id, string_agg(text, chr(10) ORDER BY part, pos) AS extra_text
+    FROM (SELECT post_id, 0 AS part, seq AS pos, trim(caption) AS text FROM v_post_messages
           WHERE kind = 'text' AND trim(caption) <> ''
           UNION ALL SELECT post_id, 1, run, segment_caption FROM segs WHERE n = 0 AND segment_caption <> '')
     GROUP BY post_id""", ("v_post_messages",))
