@@ -34,7 +34,7 @@ VIEWS = {
         FROM v_listing l JOIN embeddings e ON l.vec_id = e.vec_id""",
     "v_sighting": """
         SELECT l_partkey AS listing_id, l_orderkey AS post_id, l_linenumber AS segment_idx, l_shipdate AS seen_at,
-               round(l_extendedprice / l_quantity, 2) AS price, CAST(l_quantity AS INTEGER) AS qty,
+               l_extendedprice / l_quantity AS price, CAST(l_quantity AS INTEGER) AS qty,
                CASE WHEN l_returnflag = 'A' THEN 'origin' WHEN l_returnflag = 'N' THEN 'phash'
                     ELSE 'embedding' END AS match_kind, l_suppkey AS suppkey
         FROM lineitem""",

@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators import reposts as op
 from bazaarlens.plans.registry import query
+from bazaarlens.session import cut_lineage
 from bazaarlens.sources import tables as t
 
 HAMMING = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
 
 
+def fingerprints(spark, folder):
+    """Text fingerprints, written once: the queries below read them several times."""
+    return cut_lineage(t.doc_images(spark, folder))
+
+
 def _dated(images):
     """Known photos with their listing's seller and time; the listing is the lowest of its copies."""
     owner = images.select(F.col("post_id").alias("listing_id"), F.col("seller").alias("_s")).join(
@@ -27,7 +33,7 @@ def _dated(images):
       WHERE b.listing_id % 200 > a.post_id % 200 - 90) WHERE rn = 1""", ("v_doc_image",))
 def repost_by_hash(spark, folder):
     """Every text against every other: the earliest known listing within two bits and the window."""
-    images = t.doc_images(spark, folder)
+    images = fingerprints(spark, folder)
     new = images.select("post_id", F.lit(0).alias("segment_idx"), "phash", "seller",
                         F.lit(None).cast("string").alias("owner"),
                         F.timestamp_seconds(F.lit(1704067200) + F.col("post_id") % 200 * 86400).alias("ref_time"))
@@ -122,7 +128,7 @@ def segment_embedding(spark, folder):
     WHERE (same_seller AND distance IN (2, 4, 6, 8, 10)) OR (NOT same_seller AND distance IN (2, 4))
     GROUP BY distance, same_seller""", ("v_doc_image",))
 def pair_self_join(spark, folder):
-    counted = op.hash_distance_bands(t.doc_images(spark, folder))
+    counted = op.hash_distance_bands(fingerprints(spark, folder))
     return counted.select(F.col("distance").cast("long").alias("distance"), "same_seller", "pairs")
 
 
@@ -145,7 +151,7 @@ def pair_cosine_bands(spark, folder):
       WHERE (same_seller AND distance IN (2, 4, 6, 8, 10)) OR (NOT same_seller AND distance IN (2, 4)))
     WHERE place <= CASE WHEN same_seller THEN 10 ELSE 5 END""", ("v_doc_image",))
 def stratified_pairs(spark, folder):
-    pairs = op.stratified_pairs(t.doc_images(spark, folder), per_band=10)
+    pairs = op.stratified_pairs(fingerprints(spark, folder), per_band=10)
     return pairs.select(F.col("distance").cast("long").alias("distance"), "same_seller", "left_id", "right_id", "place")
 
 
@@ -159,7 +165,7 @@ def stratified_pairs(spark, folder):
       SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
     SELECT x AS post_id, min(y) AS listing_id, count(*) AS n_posts FROM reach GROUP BY x""", ("v_doc_image",))
 def repost_clusters(spark, folder):
-    return op.repost_clusters(t.doc_images(spark, folder))
+    return op.repost_clusters(fingerprints(spark, folder))
 
 
 @query("price_history", """

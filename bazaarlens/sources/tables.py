@@ -72,7 +72,7 @@ def sightings(spark: SparkSession, folder: str) -> DataFrame:
     return li.select(
         F.col("l_partkey").alias("listing_id"), F.col("l_orderkey").alias("post_id"),
         F.col("l_linenumber").alias("segment_idx"), F.col("l_shipdate").cast("timestamp").alias("seen_at"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").cast("int").alias("qty"),
         F.when(F.col("l_returnflag") == "A", "origin").when(F.col("l_returnflag") == "N", "phash")
         .otherwise("embedding").alias("match_kind"), F.col("l_suppkey").alias("suppkey"))

@@ -84,7 +84,7 @@ if __name__ == "__main__":
         try:
             took, n, verdict = compare(spark, con, folder, name, fn, sqls.get(name))
         except Exception as e:  # report every query, then fail
-            took, n, verdict = 0, 0, f"ERROR {type(e).__name__}: {str(e)[:600]}"
+            took, n, verdict = 0, 0, f"ERROR {type(e).__name__}: " + " ".join(str(e).split())[:700]
         bad += verdict.split()[0] not in ("ok", "rows")
         print(f"{name:28} {took:6.2f}s {n:7} {verdict}", flush=True)
     print("bad:", bad)
