@@ -224,8 +224,8 @@ def eval_sample(spark, folder):
 
 
 @query("coverage_report", f"""
-    WITH parsed AS ({ct.caption_sql("o_orderkey", "orders", "o_orderkey AS id, o_orderdate AS at")}),
-    flags AS (SELECT id, at, brand IS NOT NULL AS b, size_value IS NOT NULL AS s, price IS NOT NULL OR on_request AS p
+    WITH parsed AS ({ct.caption_sql("o_orderkey", "orders", "o_orderkey AS id, o_orderdate AS made")}),
+    flags AS (SELECT id, made, brand IS NOT NULL AS b, size_value IS NOT NULL AS s, price IS NOT NULL OR on_request AS p
               FROM parsed),
     gaps AS (SELECT *, 3 - b::INT - s::INT - p::INT AS g FROM flags),
     totals AS (SELECT count(*) AS n, count(*) FILTER (b) AS nb, count(*) FILTER (s) AS ns, count(*) FILTER (p) AS np,
@@ -237,7 +237,7 @@ def eval_sample(spark, folder):
            round(likely * 0.0020::DOUBLE, 4) AS cost_qwen2_5_vl_72b_instruct,
            CAST(round_even(n * 0.5::DOUBLE / 60, 0) AS BIGINT) AS minutes_low,
            CAST(round_even(n * 1.5::DOUBLE / 60, 0) AS BIGINT) AS minutes_high,
-           (SELECT epoch_us(min(at)) FROM flags) AS first_us, (SELECT epoch_us(max(at)) FROM flags) AS last_us
+           (SELECT epoch_us(min(made)) FROM flags) AS first_us, (SELECT epoch_us(max(made)) FROM flags) AS last_us
     FROM totals""")
 def coverage_report(spark, folder):
     """An import estimate: every order is a post of one photo with a composed caption."""
