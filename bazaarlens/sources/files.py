@@ -72,8 +72,17 @@ def checked_media(files: DataFrame, lazy: bool = False, max_bytes: int = MAX_FIL
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Posts of a manifest, one row each, with `problems`; a slug used twice is one of them."""
-    posts = spark.read.schema(MANIFEST).option("multiLine", True).json(path).select("version", F.inline("posts"))
+    """Posts of a manifest file, one row each, with `problems`; a slug used twice is one of them."""
+    return _checked_posts(spark.read.schema(MANIFEST).option("multiLine", True).json(path))
+
+
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same for many manifests, one JSON document per line, which splits across tasks."""
+    return _checked_posts(spark.read.schema(MANIFEST).json(path))
+
+
+def _checked_posts(documents: DataFrame) -> DataFrame:
+    posts = documents.select("version", F.inline("posts"))
     uses = posts.groupBy("slug").agg(F.count(F.lit(1)).alias("_uses"))
     checks = {
         "bad_slug": ~F.coalesce(F.col("slug").rlike(SLUG), F.lit(False)),
