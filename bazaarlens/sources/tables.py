@@ -41,13 +41,20 @@ def post_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def listings(spark: SparkSession, folder: str, with_vector: bool = True) -> DataFrame:
     """Listings from parts; the vector of a part is the embedding of its key modulo 500."""
-    p = load_table(spark, folder, "part")
+    out = as_listings(load_table(spark, folder, "part"))
+    if not with_vector:
+        return out
+    return out.join(load_table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
+
+
+def as_listings(parts: DataFrame) -> DataFrame:
+    """The listing columns of a (batch or streaming) part table."""
     pid = F.col("p_partkey")
     size_source = F.element_at(F.array(*[F.lit(s) for s in ("caption", "vlm", "ocr", "seed")]),
                                (pid % 4 + 1).cast("int"))
     brand_source = F.element_at(F.array(*[F.lit(s) for s in ("caption", "siglip", "ocr", "knn", "vlm")]),
                                 (pid % 5 + 1).cast("int"))
-    out = p.select(
+    return parts.select(
         pid.alias("listing_id"), (pid * 10).alias("post_id"), F.lit(0).alias("segment_idx"),
         F.col("p_brand").alias("brand"), F.col("p_name").alias("model"),
         F.when(pid % 7 != 0, F.col("p_size").cast("decimal(4,1)")).alias("size_eu"),
@@ -61,9 +68,6 @@ def listings(spark: SparkSession, folder: str, with_vector: bool = True) -> Data
         (pid % 4).alias("repost_count"),
         F.timestamp_seconds(F.lit(1704067200) + pid * 7919 % 7776000).alias("last_seen"),
         (pid % 500).alias("vec_id"))
-    if not with_vector:
-        return out
-    return out.join(load_table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
 def sightings(spark: SparkSession, folder: str) -> DataFrame:
