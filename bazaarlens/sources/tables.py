@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.session import cut_lineage
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -13,6 +15,18 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+SPREAD_BYTES = 128 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a table stored in fewer splits than there are cores is dealt out to them, at one
+    partition per 128 KiB at most. A table with splits enough, as any large one has, passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(cores, -(-size // SPREAD_BYTES))
+    return df if wanted <= 1 or df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Every base table; Spark reads only the schema until one is used."""
     return {name: load_table(spark, folder, name) for name in TABLES}
@@ -127,7 +141,7 @@ def beats(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of the corpus: documents, page sources and conversation turns."""
-    d = load_table(spark, folder, "documents").select(
+    d = spread(load_table(spark, folder, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text"))
     p = load_table(spark, folder, "pages").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
@@ -137,19 +151,19 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return d.unionByName(p).unionByName(c)
 
 
-def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def simhash(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """A 64-bit fingerprint per text: every word votes with the bits of its md5 halves; the sign of a bit's vote sets
     it. Words are counted per text first, so the vote sums run over distinct words with map-side partials."""
-    words = (df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), " ")).alias("w"))
-             .groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.md5("w")))
+    words = (df.select(*id_cols, F.explode(F.split(F.lower(F.col(text_col)), " ")).alias("w"))
+             .groupBy(*id_cols, "w").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.md5("w")))
     halves = [F.conv(F.substring("h", s, 8), 16, 10).cast("long") for s in (1, 9)]
-    votes = words.select(id_col, "n", halves[0].alias("h0"), halves[1].alias("h1"))
+    votes = words.select(*id_cols, "n", halves[0].alias("h0"), halves[1].alias("h1"))
     sums = []
     for half in (0, 1):
         for bit in range(32):
             sign = F.shiftright(F.col(f"h{half}"), bit).bitwiseAND(F.lit(1)) * 2 - 1
             sums.append(F.sum(F.col("n") * sign).alias(f"b{half}_{bit}"))
-    summed = votes.groupBy(id_col).agg(*sums)
+    summed = votes.groupBy(*id_cols).agg(*sums)
 
     def packed(half: int) -> Column:
         total = F.lit(0).cast("long")
@@ -157,18 +171,19 @@ def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             total = total + F.when(F.col(f"b{half}_{bit}") > 0, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
         return total
 
-    return summed.select(id_col, F.shiftleft(packed(0), 32).bitwiseOR(packed(1)).alias("phash"))
+    return summed.select(*id_cols, F.shiftleft(packed(0), 32).bitwiseOR(packed(1)).alias("phash"))
 
 
 def doc_images(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as photos: each document is a post of one photo whose hash is the text's fingerprint. Texts with one
-    and the same hash are already folded into the listing of the lowest id, as the resolver leaves them."""
-    docs = load_table(spark, folder, "documents")
-    hashed = simhash(docs, "doc_id", "text")
+    and the same hash are already folded into the listing of the lowest id, as the resolver leaves them.
+
+    The fingerprints are written once to the shared folder: callers read them many times, the texts only here."""
+    docs = spread(load_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    hashed = cut_lineage(simhash(docs, ["doc_id", "source"], "text"))
     folded = hashed.groupBy("phash").agg(F.min("doc_id").alias("listing_id"))
-    meta = docs.select("doc_id", F.col("source").alias("seller"))
-    return (hashed.join(folded, "phash").join(meta, "doc_id")
-            .select(F.col("doc_id").alias("post_id"), "phash", "listing_id", "seller"))
+    return hashed.join(folded, "phash").select(F.col("doc_id").alias("post_id"), "phash", "listing_id",
+                                               F.col("source").alias("seller"))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rn") -> DataFrame:
@@ -179,7 +194,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out:
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Photos with detections from the event stream: a user is a post, a day a segment, 0 to 4 boxes a photo."""
-    e = load_table(spark, folder, "events")
+    e = spread(load_table(spark, folder, "events").select("event_id", "user_id", "ts", "value"))
     eid = F.col("event_id")
 
     def det(i: Column) -> Column:
