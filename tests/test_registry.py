@@ -10,7 +10,7 @@ import oracle_check
 
 FOLDER = "/root/testdata/sf0.001"
 CROSS_SECTION = ["classify_messages", "validate_posts", "mask_digits", "describe_match", "pseudonymise", "caption_fallback",
-                 "item_attributes", "group_albums", "segment_posts", "pick_crops", "repost_by_embedding", "repost_fold",
+                 "item_attributes", "group_albums", "segment_posts", "pick_crops", "repost_by_hash", "repost_fold",
                  "match_wishlists", "knn_brand", "admit_calls", "state_alerts", "listing_detail", "upsert_sink",
                  "search_listings", "stream_albums", "assemble_messages"]
 
