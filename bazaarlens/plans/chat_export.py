@@ -23,7 +23,7 @@ BODY_SQL = """
          WHEN turn % 8 = 4 THEN 'This message was deleted' WHEN turn % 8 = 5 THEN 'PTT-20240314-WA0002.opus (file attached)'
          WHEN turn % 8 = 6 THEN text || ' <This message was edited>' ELSE 'video omitted' END"""
 ROWS_SQL = f"""
-    SELECT conv_id, turn, text, role, {BODY_SQL} AS body,
+    SELECT conv_id, conv_id // 50 AS file_no, conv_id // 50 % 2 = 0 AS ios, turn, text, role, {BODY_SQL} AS body,
            CASE WHEN role = 'user' THEN '+92 300 12345' || lpad(CAST(conv_id % 100 AS VARCHAR), 2, '0') ELSE 'Seller ' || role
            END AS sender FROM conversations"""
 
@@ -43,30 +43,33 @@ def _rows(spark, folder):
 
 
 def write_exports(spark, folder) -> str:
-    """One file per conversation: even ones in the iOS form (12 h clock), odd ones in the Android form. Every file opens
-    with a system line."""
+    """One file per fifty conversations: even files in the iOS form (12 h clock), odd ones in the Android form. Every
+    file opens with a system line."""
     n, conv = F.col("turn"), F.col("conv_id")
+    file_no = F.floor(conv / 50)
+    is_ios = file_no % 2 == 0
     ios = F.concat(F.lit("[14/03/24, "), (n + 1).cast("string"), F.lit(":05:09 PM] "), F.col("sender"), F.lit(": "),
                    F.lit("‎"), F.col("body"))
     android = F.concat(F.lit("14/03/24, "), F.lpad((n + 8).cast("string"), 2, "0"), F.lit(":05 - "), F.col("sender"),
                        F.lit(": "), F.col("body"))
-    rows = _rows(spark, folder).select(conv, n, F.when(conv % 2 == 0, ios).otherwise(android).alias("value"))
-    opening = rows.select("conv_id").distinct().select(
-        "conv_id", F.lit(-1).cast("long").alias("turn"),
-        F.when(conv % 2 == 0, "[14/03/24, 1:00:00 PM] Messages are end-to-end encrypted.").otherwise(
+    rows = _rows(spark, folder).select(file_no.alias("file_no"), conv, n, F.when(is_ios, ios).otherwise(android)
+                                       .alias("value"))
+    opening = rows.select("file_no").distinct().select(
+        "file_no", F.lit(-1).cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"),
+        F.when(F.col("file_no") % 2 == 0, "[14/03/24, 1:00:00 PM] Messages are end-to-end encrypted.").otherwise(
             "14/03/24, 07:00 - Messages are end-to-end encrypted.").alias("value"))
     path = fresh_path(spark, "exports")
-    (rows.unionByName(opening).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-     .select("conv_id", "value").write.partitionBy("conv_id").text(path))
+    (rows.unionByName(opening).repartition("file_no").sortWithinPartitions("file_no", "conv_id", "turn")
+     .select("file_no", "value").write.partitionBy("file_no").text(path))
     return path
 
 
 def _lines(spark, folder):
-    return files.read_chat_lines(spark, write_exports(spark, folder) + "/conv_id=*")
+    return files.read_chat_lines(spark, write_exports(spark, folder) + "/file_no=*")
 
 
-def conv_of(file):
-    return F.regexp_extract(file, r"conv_id=(\d+)", 1).cast("long")
+def file_no_of(file):
+    return F.regexp_extract(file, r"file_no=(\d+)", 1).cast("long")
 
 
 def _headers(spark, folder):
@@ -92,38 +95,39 @@ def _classified(spark, folder):
 
 @query("read_chat_lines", f"""
     WITH bodies AS (
-      SELECT conv_id, turn, string_split(CASE WHEN conv_id % 2 = 0 THEN '[14/03/24, ' || (turn + 1) || ':05:09 PM] '
+      SELECT file_no, conv_id, turn, string_split(CASE WHEN ios THEN '[14/03/24, ' || (turn + 1) || ':05:09 PM] '
                ELSE '14/03/24, ' || lpad(CAST(turn + 8 AS VARCHAR), 2, '0') || ':05 - ' END || sender || ': ' || body,
                chr(10)) AS parts FROM ({ROWS_SQL})
-      UNION ALL SELECT DISTINCT conv_id, -1, [CASE WHEN conv_id % 2 = 0
+      UNION ALL SELECT DISTINCT file_no, -1, -1, [CASE WHEN ios
                THEN '[14/03/24, 1:00:00 PM] Messages are end-to-end encrypted.'
-               ELSE '14/03/24, 07:00 - Messages are end-to-end encrypted.' END] FROM conversations
-      UNION ALL SELECT DISTINCT conv_id, 1000000, [''] FROM conversations),
-    lines AS (SELECT conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM bodies)
-    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS line_no, md5(line) AS line_md5
+               ELSE '14/03/24, 07:00 - Messages are end-to-end encrypted.' END] FROM ({ROWS_SQL})
+      UNION ALL SELECT file_no, max(conv_id), 1000000, [''] FROM ({ROWS_SQL}) GROUP BY file_no),
+    lines AS (SELECT file_no, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM bodies)
+    SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY conv_id, turn, k) - 1 AS line_no,
+           md5(line) AS line_md5
     FROM lines""")
 def read_chat_lines(spark, folder):
-    return _lines(spark, folder).select(conv_of("file").alias("conv_id"), "line_no", F.md5("line").alias("line_md5"))
+    return _lines(spark, folder).select(file_no_of("file").alias("file_no"), "line_no", F.md5("line").alias("line_md5"))
 
 
 @query("parse_chat_headers", f"""
-    SELECT conv_id, conv_id % 2 = 0 AS ios, count(*) + 1 AS n_headers, count(DISTINCT turn) AS n_clocks
-    FROM ({ROWS_SQL}) GROUP BY conv_id""")
+    SELECT file_no, bool_or(ios) AS ios, count(*) + 1 AS n_headers, count(DISTINCT turn) AS n_clocks
+    FROM ({ROWS_SQL}) GROUP BY file_no""")
 def parse_chat_headers(spark, folder):
     heads = _headers(spark, folder).withColumn("head", F.coalesce("ios", "android"))
-    per = heads.where(F.col("head").isNotNull()).groupBy(conv_of("file").alias("conv_id")).agg(
+    per = heads.where(F.col("head").isNotNull()).groupBy(file_no_of("file").alias("file_no")).agg(
         F.bool_or(F.col("ios").isNotNull()).alias("ios"), F.count(F.lit(1)).alias("n_headers"),
         (F.count_distinct("head.clock") - 1).alias("n_clocks"))
     return per
 
 
-@query("infer_chat_format", """
-    SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'ios' ELSE 'android' END AS kind, 'dmy' AS date_order,
-           conv_id % 2 = 0 AS has_seconds, conv_id % 2 = 0 AS is_12h, CAST(NULL AS VARCHAR) AS problem
-    FROM conversations""")
+@query("infer_chat_format", f"""
+    SELECT DISTINCT file_no, CASE WHEN ios THEN 'ios' ELSE 'android' END AS kind, 'dmy' AS date_order,
+           ios AS has_seconds, ios AS is_12h, CAST(NULL AS VARCHAR) AS problem
+    FROM ({ROWS_SQL})""")
 def infer_chat_format(spark, folder):
     formats = op.infer_chat_format(_headers(spark, folder))
-    return formats.withColumn("conv_id", conv_of("file")).drop("file")
+    return formats.withColumn("file_no", file_no_of("file")).drop("file")
 
 
 @query("parse_chat_ts", f"""
@@ -139,28 +143,29 @@ def parse_chat_ts(spark, folder):
 
 
 @query("assemble_messages", f"""
-    SELECT conv_id, sender, md5(body) AS body_md5,
-           epoch_us(TIMESTAMP '2024-03-14 00:00:00') // 1000000 - 5 * 3600 + CASE WHEN conv_id % 2 = 0
+    SELECT file_no, sender, md5(body) AS body_md5,
+           epoch_us(TIMESTAMP '2024-03-14 00:00:00') // 1000000 - 5 * 3600 + CASE WHEN ios
            THEN ((turn + 1) % 12 + 12) * 3600 + 309 ELSE (turn + 8) * 3600 + 300 END AS ts_s
-    FROM (SELECT conv_id, turn, sender, body || CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN chr(10)
-          ELSE '' END AS body FROM ({ROWS_SQL}))""")
+    FROM (SELECT file_no, ios, turn, sender,
+                 body || CASE WHEN lead(turn) OVER (PARTITION BY file_no ORDER BY conv_id, turn) IS NULL THEN chr(10)
+                              ELSE '' END AS body FROM ({ROWS_SQL}))""")
 def assemble_messages(spark, folder):
     return _messages(spark, folder).select(
-        conv_of("file").alias("conv_id"), "sender", F.md5("body").alias("body_md5"), F.unix_seconds("ts").alias("ts_s"))
+        file_no_of("file").alias("file_no"), "sender", F.md5("body").alias("body_md5"), F.unix_seconds("ts").alias("ts_s"))
 
 
 KIND_SQL = f"""
-    SELECT conv_id, turn, sender, CASE turn % 8 WHEN 2 THEN 'omitted' WHEN 4 THEN 'deleted' WHEN 5 THEN 'other'
+    SELECT file_no, conv_id, turn, sender, CASE turn % 8 WHEN 2 THEN 'omitted' WHEN 4 THEN 'deleted' WHEN 5 THEN 'other'
              WHEN 7 THEN 'other' WHEN 1 THEN 'text' WHEN 6 THEN 'text' WHEN 3 THEN 'image_missing'
              ELSE CASE WHEN conv_id % 40 % 2 = 0 THEN 'image' ELSE 'image_missing' END END AS kind,
            CASE WHEN turn % 8 IN (0, 1, 3, 6) THEN md5(trim(text, ' ' || chr(10))) END AS caption_md5
     FROM ({ROWS_SQL})"""
 
 
-@query("classify_body", f"SELECT conv_id, kind, caption_md5, count(*) AS n FROM ({KIND_SQL}) GROUP BY ALL")
+@query("classify_body", f"SELECT file_no, kind, caption_md5, count(*) AS n FROM ({KIND_SQL}) GROUP BY ALL")
 def classify_body(spark, folder):
     return _classified(spark, folder).groupBy(
-        conv_of("file").alias("conv_id"), "kind", F.md5("caption").alias("caption_md5")).agg(
+        file_no_of("file").alias("file_no"), "kind", F.md5("caption").alias("caption_md5")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -173,12 +178,12 @@ def sender_identity(spark, folder):
 
 
 @query("build_messages", f"""
-    SELECT conv_id, CASE WHEN starts_with(kind, 'image') THEN 'image' ELSE kind END AS kind,
+    SELECT file_no, CASE WHEN starts_with(kind, 'image') THEN 'image' ELSE kind END AS kind,
            kind = 'image_missing' AS missing, count(*) AS n
     FROM ({KIND_SQL}) WHERE kind IN ('image', 'image_missing', 'text') GROUP BY ALL""")
 def build_messages(spark, folder):
     made = op.build_messages(_classified(spark, folder), F.lit("group"))
-    return made.groupBy(conv_of("file").alias("conv_id"), "kind", "missing").agg(F.count_distinct("key").alias("n"))
+    return made.groupBy(file_no_of("file").alias("file_no"), "kind", "missing").agg(F.count_distinct("key").alias("n"))
 
 
 @query("list_media")
