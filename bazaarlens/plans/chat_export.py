@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators import chat_export as op
 from bazaarlens.plans.registry import query
-from bazaarlens.session import fresh_path
+from bazaarlens.session import cut_lineage, fresh_path
 from bazaarlens.sources import files
 from bazaarlens.sources import tables as t
 
@@ -65,7 +65,8 @@ def write_exports(spark, folder) -> str:
 
 
 def _lines(spark, folder):
-    return files.read_chat_lines(spark, write_exports(spark, folder) + "/file_no=*")
+    """The numbered lines, written once: formats and messages read them several times."""
+    return cut_lineage(files.read_chat_lines(spark, write_exports(spark, folder) + "/file_no=*"))
 
 
 def file_no_of(file):
