@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ def build_session(cpus: int | str = 8, app: str = "bazaarlens") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(CHECKPOINT_CONF, os.environ.get("SPARK_CHECKPOINT_DIR", "/tmp/bazaarlens-shared"))
         .config("spark.sql.shuffle.partitions", str(cpus if str(cpus).isdigit() else 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -32,16 +33,11 @@ def build_session(cpus: int | str = 8, app: str = "bazaarlens") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder. A local master may fall back to a temporary folder; a cluster may not,
-    because executors there cannot read each other's local disks."""
+    """The folder that driver and executors share, as the session names it. `build_session` sets one for local runs."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="bazaarlens-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    if not named:
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
+    return named
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
