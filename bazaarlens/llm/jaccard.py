@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bazaarlens.llm.components import components
-from bazaarlens.llm.tables import bitmap, combine_parts, emit_parts, joined_parts, ship, slot
+from bazaarlens.llm.tables import bitmap, combine_parts, emit_parts, joined_parts, ship, slot, small_batches
 from bazaarlens.llm.words import NONSPACE, column, mix, slices, words
 from bazaarlens.session import cut_lineage
 
@@ -69,6 +69,7 @@ class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int, kind: np.ndarray, orders: int, bits: int):
         self.spark, self.size, self.percent, self.kind = docs.sparkSession, size, percent, kind
         self.orders, self.bits = orders, bits
+        small_batches(self.spark)
         self.texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("at", F.xxhash64("text"))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -116,55 +117,57 @@ class _Join:
         return joined_parts(small, "uint8", 1 << self.bits, PARTS)
 
     def prefixes(self, levels: np.ndarray) -> DataFrame:
-        """(node, at, n, p0, p1, ...) for sets that another set can match; `at` finds a text of the set again."""
-        size, kind, bits, percent, orders = self.size, self.kind, self.bits, self.percent, self.orders
-        held = ship(self.spark, levels)
+        """(node, at, n, prefix) under the first order, for sets that another set can match; `at` finds a text of the
+        set again."""
+        size, kind, bits, percent = self.size, self.kind, self.bits, self.percent
+        held = self.levels_held = ship(self.spark, levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = set()
             for b in batches:
-                cols = [[] for _ in range(3 + orders)]
+                cols = [[], [], [], []]
                 ats = column(b, "at").to_numpy(zero_copy_only=False)
                 for first, texts in slices(column(b, "text")):
                     for i, s in enumerate(shingle_sets(texts, size, kind)):
                         if 100 * len(s) < percent * (len(s) + 1) or (node := _node(s)) in seen:
                             continue
                         seen.add(node)
-                        prefix = [_prefix(s, k, held(), bits, percent).view(np.int64) for k in range(orders)]
-                        for c, x in zip(cols, [node, int(ats[first + i]), len(s), *prefix]):
+                        prefix = _prefix(s, 0, held(), bits, percent).view(np.int64)
+                        for c, x in zip(cols, (node, int(ats[first + i]), len(s), prefix)):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.list_(pa.int64())) for c in cols[3:]],
-                    ["node", "at", "n"] + [f"p{k}" for k in range(orders)])
+                    [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.list_(pa.int64()))],
+                    ["node", "at", "n", "prefix"])
 
-        schema = "node long, at long, n long, " + ", ".join(f"p{k} array<long>" for k in range(orders))
-        return cut_lineage(self.texts.mapInArrow(run, schema))
+        return cut_lineage(self.texts.mapInArrow(run, "node long, at long, n long, prefix array<long>"))
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(node, shingles) of the wanted nodes; wanted: (node, at). Texts are passed over by a fixed-size bitmap, the
-        join settles what it lets through."""
-        size, kind = self.size, self.kind
-        held = ship(self.spark, bitmap(wanted, "at"))
+    def sets(self, wanted: DataFrame, others: int = 0) -> DataFrame:
+        """(node, shingles, p1, p2, ...) of the wanted nodes, with their prefixes under the other orders; wanted:
+        (node, at). Texts are passed over by a fixed-size bitmap; the few it lets through beyond are met by no join."""
+        size, kind, bits, percent = self.size, self.kind, self.bits, self.percent
+        chosen, levels = ship(self.spark, bitmap(wanted, "at")), self.levels_held
+        names = [f"p{k}" for k in range(1, others + 1)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, bits = set(), len(held()) * 8
-            width = bits.bit_length() - 1
+            seen, marks = set(), chosen()
+            width = (len(marks) * 8).bit_length() - 1
             for b in batches:
-                ats = column(b, "at").to_numpy(zero_copy_only=False)
-                at = slot(ats, width)
-                b = b.filter(pa.array((held()[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
-                nodes, data = [], []
+                at = slot(column(b, "at").to_numpy(zero_copy_only=False), width)
+                b = b.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+                cols = [[] for _ in range(2 + others)]
                 for _, texts in slices(column(b, "text")):
                     for s in shingle_sets(texts, size, kind):
                         if len(s) and (node := _node(s)) not in seen:
                             seen.add(node)
-                            nodes.append(node)
-                            data.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())],
-                                                 ["node", "shingles"])
+                            prefix = [_prefix(s, k, levels(), bits, percent).view(np.int64) for k in range(1, others + 1)]
+                            for c, x in zip(cols, (node, s.tobytes(), *prefix)):
+                                c.append(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())]
+                    + [pa.array(c, pa.list_(pa.int64())) for c in cols[2:]], ["node", "shingles", *names])
 
-        found = self.texts.mapInArrow(run, "node long, shingles binary")
-        return cut_lineage(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+        schema = "node long, shingles binary" + "".join(f", {n} array<long>" for n in names)
+        return self.texts.mapInArrow(run, schema)
 
     def fits(self, a: str, b: str) -> Column:
         """Length and position bounds for two rows that share a token at `pos` of their prefixes."""
@@ -175,15 +178,16 @@ class _Join:
 
     def verified(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """The pairs that share prefix tokens under every other order and whose sets are alike enough."""
-        others = [f"p{k}" for k in range(1, self.orders)]
+        others = self.orders - 1
+        sets = cut_lineage(self.sets(cut_lineage(self._of(prefixes, pairs)), others))
         if others:
-            side = cut_lineage(self._of(prefixes, pairs, *others))
-            both = (pairs.join(side.toDF("a", *[f"a{x}" for x in others]), "a")
-                    .join(side.toDF("b", *[f"b{x}" for x in others]), "b"))
-            for x in others:
+            names = [f"p{k}" for k in range(1, others + 1)]
+            side = sets.select("node", *names).dropDuplicates(["node"])
+            both = (pairs.join(side.toDF("a", *[f"a{x}" for x in names]), "a")
+                    .join(side.toDF("b", *[f"b{x}" for x in names]), "b"))
+            for x in names:
                 both = both.where(F.arrays_overlap(f"a{x}", f"b{x}"))
             pairs = cut_lineage(both.select("a", "b"))
-        sets = self.sets(cut_lineage(self._of(prefixes, pairs, "at")))
         percent = self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +199,24 @@ class _Join:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return cut_lineage(pairs.join(x, "a").join(y, "b").mapInArrow(compare, "a long, b long"))
+        whole = sets.select("node", "shingles").dropDuplicates(["node"])
+        met = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+        return cut_lineage(met.mapInArrow(compare, "a long, b long"))
 
     @staticmethod
-    def _of(prefixes: DataFrame, pairs: DataFrame, *cols: str) -> DataFrame:
-        """A row per node of the pairs. `prefixes` names a node once per task that met it."""
+    def _of(prefixes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(node, at): one text for each node of the pairs."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return prefixes.select("node", *cols).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return prefixes.select("node", "at").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at"))
 
     def links(self, prefixes: DataFrame) -> DataFrame:
         """Links (a, b) between nodes: enough of them that every link joins nodes of one component."""
-        rows = prefixes.select("node", "n", F.posexplode("p0").alias("pos", "token"))
-        per_token = W.partitionBy("token")
+        rows = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        by_size = W.partitionBy("token").orderBy("n")
+        near = ((100 * F.lag("n").over(by_size) >= self.percent * F.col("n"))
+                | (100 * F.col("n") >= self.percent * F.lead("n").over(by_size)))
         entries = cut_lineage(rows.repartition("token").dropDuplicates(["token", "node"])
-                              .withColumns({"lo": F.min("node").over(per_token), "hi": F.max("node").over(per_token)})
-                              .where("lo < hi").drop("lo", "hi"))
+                              .withColumn("near", near).where("near").drop("near"))
         found, tried, labels = None, None, None
         for k in range(STARS + 1):
             open_ = entries.withColumn("label", F.col("node")) if labels is None else self._open(entries, labels)
@@ -255,8 +261,9 @@ class _Join:
         e = e.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("token")) > HOT)
         keyed = e.where("not many").withColumn("key", F.col("token")).drop("many")
         if self.orders > 1:
-            hot = e.where("many").drop("many")
-            second = prefixes.select("node", "p1").join(hot.select("node").distinct(), "node", "left_semi")
+            hot = cut_lineage(e.where("many").drop("many"))
+            nodes = hot.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+            second = self.sets(cut_lineage(self._of(prefixes, nodes)), 1).select("node", "p1")
             second = second.dropDuplicates(["node"]).select("node", F.explode("p1").alias("second"))
             hot = hot.join(second, "node")
             keyed = keyed.unionByName(hot.withColumn("key", F.xxhash64("token", "second")).drop("second"))

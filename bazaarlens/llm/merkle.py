@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.tables import small_batches
 from bazaarlens.llm.words import NONSPACE, column, hash_spans, slices, spans, text_bytes
 from bazaarlens.session import cut_lineage
 
@@ -173,6 +174,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     only row is its own next. Of rows with one doc_id the order is that of a hash of their texts; rows with null ids
     come last. edit_start and edit_end are bytes of the text, null if nothing differs."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
              "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),

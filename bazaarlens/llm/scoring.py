@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.tables import small_batches
 from bazaarlens.llm.words import ALNUM, Words, column, concat_ranges, words
 from bazaarlens.session import cut_lineage
 
@@ -55,6 +56,7 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)],
                                           ["block", "docs", "bounds", "text", "n_words"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut_lineage(rows.mapInArrow(pack, _PACK))
 

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.words import mix
+
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -79,11 +84,18 @@ def bitmap(ids: DataFrame, column: str, bits: int = 23, n_parts: int = 8) -> np.
 
 
 def slot(ids: np.ndarray, bits: int) -> np.ndarray:
-    from bazaarlens.llm.words import mix
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of few rows, so that a worker holds little beside its arrays. A session that
+    asks for even fewer keeps its setting."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     """A broadcast value as a function. Callers state the bound on its size."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(value)
     return lambda: held.value
