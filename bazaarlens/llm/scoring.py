@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm.tables import small_batches
 from bazaarlens.llm.words import ALNUM, Words, column, concat_ranges, words
-from bazaarlens.session import cut_lineage
+from bazaarlens.session import fresh_path
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_BYTES = 6 << 20  # text of a block
+BLOCK_BYTES = 10 << 20  # text of a block
 TABLE_ROWS = 600_000  # n-grams of a partition of a count table, about
 _PACK = "block string, docs binary, bounds binary, text binary, n_words long"
 
 
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of about `size` bytes of whole documents: ids, bounds and the compressed text."""
+    """Rows of about `size` bytes of whole documents: ids, bounds and the compressed text. They are kept as a table
+    bucketed by block, so that they need not move again when the answers come back to them."""
+    spark = docs.sparkSession
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
         for b in batches:
@@ -51,14 +54,17 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
         raw = b"".join(texts)
         n = len(_unpack_words(raw, bounds).hashes)
         cols = [uuid.uuid4().hex, np.concatenate([numbers, none]).astype(np.int64).tobytes(), bounds.tobytes(),
-                zstandard.ZstdCompressor(3).compress(raw), n]
+                zstandard.ZstdCompressor(level=9).compress(raw), n]
         kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)],
                                           ["block", "docs", "bounds", "text", "n_words"])
 
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut_lineage(rows.mapInArrow(pack, _PACK))
+    name, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rows.mapInArrow(pack, _PACK).write.format("parquet").bucketBy(buckets, "block")
+     .option("path", fresh_path(spark, "blocks")).saveAsTable(name))
+    return spark.table(name)
 
 
 def _unpack_words(raw: bytes, bounds: np.ndarray) -> Words:
@@ -81,6 +87,19 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, len(flat) // 8).T).view(np.uint64).ravel()
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """Counts, nearly all of which are 1, as places and values of the others."""
+    more = np.flatnonzero(counts > 1)
+    return _planes(np.concatenate([np.diff(more, prepend=0), counts[more]]).astype(np.uint64))
+
+
+def _from_sparse(data: bytes, size: int) -> np.ndarray:
+    flat = _from_planes(data)
+    out = np.ones(size, np.uint64)
+    out[np.cumsum(flat[: len(flat) // 2]).astype(np.int64)] = flat[len(flat) // 2:]
+    return out
+
+
 def _edges(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
@@ -95,7 +114,7 @@ def _requests(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                     keys, counts = np.unique(w.grams(n)[0], return_counts=True)
                     at = [0, *np.searchsorted(keys, _edges(parts)).tolist(), len(keys)]
                     rows = [(p * order + n - 1, n, block, _planes(np.diff(keys[lo:hi], prepend=np.uint64(0))),
-                             _planes(counts[lo:hi].astype(np.uint64)))
+                             _sparse(counts[lo:hi]))
                             for p, (lo, hi) in enumerate(zip(at[:-1], at[1:])) if hi > lo]
                     kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [[]] * 5,
@@ -110,7 +129,7 @@ def _answers(requests: DataFrame) -> DataFrame:
     """(block, n, part, totals): per request the counts of its n-grams over all blocks, in the order asked."""
     def add(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(_from_planes(x.as_py()), dtype=np.uint64) for x in t["keys"]]
-        counts = [_from_planes(x.as_py()) for x in t["counts"]]
+        counts = [_from_sparse(x.as_py(), len(k)) for x, k in zip(t["counts"], keys)]
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         ranked = flat[order]
