@@ -28,7 +28,6 @@ HEADERS = {
 }
 SENDER = r"(?U)^([^:]{1,80}):\s(.*)$"
 HALF_DAY = r"(?U)\s?([AaPp])\.?\s?[Mm]\.?$"
-SAMPLE_LINES = 500
 ATTACHED_IOS = r"(?U)<attached:\s*([^>]+)>(.*)$"
 ATTACHED_ANDROID = r"(?U)^([\w-]+\.\w{2,5})\s*\(.*\)\s*$"
 IMAGE_NAME = r"(?i)\.(?:jpe?g|png|webp)$"
@@ -52,11 +51,9 @@ def parse_chat_headers(lines: DataFrame) -> DataFrame:
 def infer_chat_format(headers: DataFrame, date_order: str | None = None) -> DataFrame:
     """One row per file: kind, date_order, has_seconds, is_12h, problem.
 
-    The kind is the one with most headers in the first 500 non-blank lines; the date order follows from values above
+    The kind is the one with most headers in the whole file; the date order follows from values above
     12 or a four-digit year anywhere in the file. Undecidable and contradictory files carry a problem."""
-    from bazaarlens.sources.tables import first_rows
-    sample = first_rows(headers.where(F.trim("line") != ""), ["file"], [F.col("line_no")], SAMPLE_LINES)
-    hits = sample.groupBy("file").agg(*[F.count(k).alias(f"_{k}") for k in HEADERS])
+    hits = headers.where(F.trim("line") != "").groupBy("file").agg(*[F.count(k).alias(f"_{k}") for k in HEADERS])
     kinds = hits.select("file", F.when(F.col("_ios") + F.col("_android") == 0, None).when(
         F.col("_ios") >= F.col("_android"), "ios").otherwise("android").alias("kind"))
 

@@ -28,7 +28,8 @@ def _wishlist_cells(wishlists: DataFrame) -> DataFrame:
     low = F.floor(F.col("size_min") - screening.SIZE_SLACK).cast("long")
     high = F.floor(F.col("size_max") + screening.SIZE_SLACK).cast("long")
     reach = F.transform(F.sequence(low, high), lambda s: s.cast("string"))
-    sizes = F.when(F.col("size_min").isNull(), F.array(F.lit(ANY))).otherwise(F.concat(reach, F.array(F.lit(UNKNOWN))))
+    known = F.coalesce(reach, F.array().cast("array<string>"))  # without an upper end only unknown sizes fit
+    sizes = F.when(F.col("size_min").isNull(), F.array(F.lit(ANY))).otherwise(F.concat(known, F.array(F.lit(UNKNOWN))))
     return (wishlists.withColumn("brand_cell", F.coalesce(captions.brand_family(F.col("brand")), F.lit(ANY)))
             .withColumn("size_cell", F.explode(sizes)))
 

@@ -9,7 +9,7 @@ from bazaarlens.functions import text as tx
 from bazaarlens.functions.geometry import pixel_area
 from bazaarlens.operators import chunked
 from bazaarlens.operators.chunked import Line
-from bazaarlens.operators.screening import MAX_POST_MESSAGES
+
 from bazaarlens.sources.tables import first_rows
 
 MAX_SEGMENT_IMAGES = 4
@@ -64,17 +64,15 @@ def segment_posts(msgs: DataFrame, line: Line | None = None) -> DataFrame:
 
 def post_extra_text(msgs: DataFrame, line: Line | None = None) -> DataFrame:
     """One row per post with text outside its segments: text messages by position, then the captions of runs that
-    kept no photo. A post longer than the ingest limit gets no text and is flagged, so no group is unbounded."""
+    kept no photo, all of them. The text of one post is one value, so its pieces meet in one row."""
     said = msgs.where((F.col("kind") == "text") & (strip(F.col("caption")) != "")).select(
         "post_id", F.lit(0).alias("part"), F.col("seq").cast("long").alias("at"), strip(F.col("caption")).alias("text"))
     lost = run_table(image_runs(msgs, line or post_line(msgs))).where("n_images = 0 AND segment_caption <> ''").select(
         "post_id", F.lit(1).alias("part"), F.col("run").cast("long").alias("at"),
         F.col("segment_caption").alias("text"))
-    pieces = first_rows(said.unionByName(lost), ["post_id"], [F.col("part"), F.col("at")], MAX_POST_MESSAGES + 1)
-    joined = pieces.groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("part", "at", "text"))).alias("_p"))
-    over = F.size("_p") > MAX_POST_MESSAGES
-    return joined.select("post_id", over.alias("over_limit"),
-                         F.when(~over, F.array_join(F.transform("_p", lambda p: p["text"]), "\n")).alias("extra_text"))
+    joined = said.unionByName(lost).groupBy("post_id").agg(
+        F.sort_array(F.collect_list(F.struct("part", "at", "text"))).alias("_p"))
+    return joined.select("post_id", F.array_join("_p.text", "\n").alias("extra_text"))
 
 
 def pick_crops(images: DataFrame, segment: list[str], limit: int = MAX_SEGMENT_IMAGES) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import ids
-from bazaarlens.operators import screening
 from bazaarlens.operators.chat_export import occurrence_keys
 from bazaarlens.plans.registry import query
 from bazaarlens.sources import tables as t
@@ -20,10 +19,10 @@ HMAC_KEY = "local-test-key"
 def idempotency_key(spark, folder):
     m = t.post_messages(spark, folder).select(
         "post_id", F.concat(F.lit("m"), F.col("message_id").cast("string")).alias("key"))
-    keyed = screening.bounded_keys(m, ["post_id"])
+    keyed = m.groupBy("post_id").agg(F.collect_set("key").alias("_keys"))  # a post's key is over all of its keys
     chat = F.concat(F.lit("c"), (F.col("post_id") % 3).cast("string"))
     key = ids.idempotency_key(F.lit("chat_export"), chat, F.col("_keys"))
-    return keyed.select("post_id", F.when(F.size("_keys") <= screening.MAX_POST_MESSAGES, key).alias("idem_key"))
+    return keyed.select("post_id", key.alias("idem_key"))
 
 
 def _pad(byte: int) -> str:
@@ -97,11 +96,8 @@ def hamming64(spark, folder):
 
 
 @query("stable_order_hash", """
-    SELECT listing_id, md5(listing_id || ':' || seller) AS h,
-           row_number() OVER (PARTITION BY seller ORDER BY md5(listing_id || ':' || seller)) AS place
-    FROM v_listing QUALIFY place <= 20""", ("v_listing",))
+    SELECT listing_id, md5(listing_id || ':' || seller) AS h FROM v_listing""", ("v_listing",))
 def stable_order_hash(spark, folder):
-    """A repeatable sample of 20 listings per seller, in hash order."""
-    rows = t.listings(spark, folder, with_vector=False).withColumn(
-        "h", ids.stable_order_hash(F.col("listing_id"), F.col("seller")))
-    return t.first_rows(rows, ["seller"], [F.col("h")], 20, "place").select("listing_id", "h", "place")
+    """The hash that orders every seller's listings in a repeatable shuffle."""
+    rows = t.listings(spark, folder, with_vector=False)
+    return rows.select("listing_id", ids.stable_order_hash(F.col("listing_id"), F.col("seller")).alias("h"))
