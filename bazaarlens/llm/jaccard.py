@@ -6,8 +6,10 @@ share prefix tokens under every other order before their sets are compared. All
 frequent in the corpus last (frequencies from a fixed-size count sketch over all texts) and differ in how they arrange
 the rest, by hash. The shortest possible sets, lengths and positions prune as well.
 
-A group of k near copies is not expanded into k * k pairs: in star rounds every posting list first meets one centre
-only; nodes found connected share a label, and the last round pairs what still differs in label, all of it."""
+Posting lists meet inside tasks, in blocks of bounded size, and parity marks of the whole sets reject nearly all that
+are not alike before a pair leaves its task. A group of k near copies is not expanded into k * k pairs either: a forest
+round sends only a spanning forest of what could be alike on to the comparison; nodes found connected share a label,
+and the last round sends every pair that still differs in label."""
 
 from __future__ import annotations
 
@@ -29,8 +31,9 @@ PERCENT = 90
 ORDERS = 3
 SKETCH_BITS = 20  # slots of the frequency sketch: 8 MB in a task, 1 MB as broadcast levels
 PARTS = 16
-STARS = 2  # star rounds before the pairs that remain
-HOT = 64  # a longer posting list is split by tokens of the second order
+FORESTS = 1  # forest rounds before the pairs that remain
+BLOCK = 1024  # a longer posting list is cut into blocks that meet two at a time
+MARKS = (256, 8192)  # fewest and most bits of the parity marks of a set
 _SEEDS = [np.uint64(0xA24BAED4963EE407 * (2 * k + 1) % 2**64) for k in range(8)]
 
 
@@ -65,6 +68,87 @@ def _prefix(s: np.ndarray, order: int, levels: np.ndarray, bits: int, percent: i
     return s[first[np.argsort(rank[first], kind="stable")]]
 
 
+def _marks(s: np.ndarray) -> bytes:
+    """Per slot the parity of the tokens that fall into it, with about a slot for each token. Two sets that differ in d
+    tokens differ in d marks at most. Marks fold to half their size by xor of the halves."""
+    bits = MARKS[0]
+    while bits < min(len(s), MARKS[1]):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _differing(marks: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many marks the rows i and j differ, pair by pair, at the smaller size of each pair."""
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in marks]
+    size = np.array([len(x) for x in rows])
+    width, out = np.minimum(size[i], size[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        used, at = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(rows[k].reshape(-1, w), axis=0) for k in used])
+        x, y = at[: len(own)], at[len(own):]
+        for lo in range(0, len(own), 1 << 15):
+            part = slice(lo, lo + (1 << 15))
+            out[own[part]] = np.bitwise_count(folded[x[part]] ^ folded[y[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges (a, b) that connect what all of them connect and form no circle; earlier edges come first."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a):]
+    root, left, kept = np.arange(len(ends)), np.arange(len(a)), []
+    while True:
+        x, y = root[u[left]], root[v[left]]
+        left, x, y = (z[x != y] for z in (left, x, y))
+        if not len(left):
+            return np.concatenate(kept) if kept else left
+        high, first = np.unique(np.maximum(x, y), return_index=True)  # every root hangs on a smaller one, once
+        kept.append(left[first])
+        up = np.arange(len(ends))
+        up[high] = np.minimum(x, y)[first]
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def _near_pairs(rows: pa.Table, percent: int, forest: int | None) -> pa.RecordBatch:
+    """Pairs (a, b) of nodes under one key that can be alike: labels differ, lengths, positions and marks allow it.
+    rows: whole keys in order. In a cell of two blocks only rows of different blocks meet. With a forest number only
+    as many pairs as connect the same labels: the nearest ones for forest 0, any for others."""
+    key, node, n, pos, label, block, two = (
+        rows.column(c).to_numpy() for c in ("key", "node", "n", "pos", "label", "block", "two"))
+    left, right = [], []
+    i, step = np.arange(len(key)), 1
+    while len(i):
+        i = i[i + step < len(key)]
+        i = i[key[i + step] == key[i]]
+        j = i + step
+        least = -(-percent * (n[i] + n[j]) // (100 + percent))
+        ok = ((label[i] != label[j]) & (~two[i] | (block[i] != block[j])) & (node[i] != node[j])
+              & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+              & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least))
+        left.append(i[ok])
+        right.append(j[ok])
+        step += 1
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    least = -(-percent * (n[i] + n[j]) // (100 + percent))
+    apart = _differing(rows.column("marks").combine_chunks(), i, j)
+    ok = apart <= n[i] + n[j] - 2 * least
+    i, j, apart = i[ok], j[ok], apart[ok]
+    if forest is not None:
+        seed = _SEEDS[forest]
+        turn = apart if forest == 0 else mix(node[i].view(np.uint64) ^ mix(node[j].view(np.uint64) ^ seed))
+        order = np.argsort(turn, kind="stable")
+        i, j = i[order], j[order]
+        kept = _forest(label[i], label[j])
+        i, j = i[kept], j[kept]
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    pairs = np.unique(np.stack([a, b]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int, kind: np.ndarray, orders: int, bits: int):
         self.spark, self.size, self.percent, self.kind = docs.sparkSession, size, percent, kind
@@ -117,15 +201,15 @@ class _Join:
         return joined_parts(small, "uint8", 1 << self.bits, PARTS)
 
     def prefixes(self, levels: np.ndarray) -> DataFrame:
-        """(node, at, n, prefix) under the first order, for sets that another set can match; `at` finds a text of the
-        set again."""
+        """(node, at, n, prefix, marks) under the first order, for sets that another set can match; `at` finds a text of
+        the set again."""
         size, kind, bits, percent = self.size, self.kind, self.bits, self.percent
         held = self.levels_held = ship(self.spark, levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = set()
             for b in batches:
-                cols = [[], [], [], []]
+                cols = [[], [], [], [], []]
                 ats = column(b, "at").to_numpy(zero_copy_only=False)
                 for first, texts in slices(column(b, "text")):
                     for i, s in enumerate(shingle_sets(texts, size, kind)):
@@ -133,13 +217,15 @@ class _Join:
                             continue
                         seen.add(node)
                         prefix = _prefix(s, 0, held(), bits, percent).view(np.int64)
-                        for c, x in zip(cols, (node, int(ats[first + i]), len(s), prefix)):
+                        for c, x in zip(cols, (node, int(ats[first + i]), len(s), prefix, _marks(s))):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.list_(pa.int64()))],
-                    ["node", "at", "n", "prefix"])
+                    [pa.array(c, pa.int64()) for c in cols[:3]]
+                    + [pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
+                    ["node", "at", "n", "prefix", "marks"])
 
-        return cut_lineage(self.texts.mapInArrow(run, "node long, at long, n long, prefix array<long>"))
+        schema = "node long, at long, n long, prefix array<long>, marks binary"
+        return cut_lineage(self.texts.mapInArrow(run, schema))
 
     def sets(self, wanted: DataFrame, others: int = 0) -> DataFrame:
         """(node, shingles, p1, p2, ...) of the wanted nodes, with their prefixes under the other orders; wanted:
@@ -169,13 +255,6 @@ class _Join:
         schema = "node long, shingles binary" + "".join(f", {n} array<long>" for n in names)
         return self.texts.mapInArrow(run, schema)
 
-    def fits(self, a: str, b: str) -> Column:
-        """Length and position bounds for two rows that share a token at `pos` of their prefixes."""
-        na, nb, t = F.col(f"{a}.n"), F.col(f"{b}.n"), self.percent
-        least = F.ceil(t * (na + nb) / F.lit(100.0 + t) - F.lit(1e-9))
-        room = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))  # tokens left from the shared one on
-        return (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (room >= least)
-
     def verified(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """The pairs that share prefix tokens under every other order and whose sets are alike enough."""
         others = self.orders - 1
@@ -218,29 +297,19 @@ class _Join:
         entries = cut_lineage(rows.repartition("token").dropDuplicates(["token", "node"])
                               .withColumn("near", near).where("near").drop("near"))
         found, tried, labels = None, None, None
-        for k in range(STARS + 1):
+        for k in [*range(FORESTS), None]:
             open_ = entries.withColumn("label", F.col("node")) if labels is None else self._open(entries, labels)
-            pairs = self._star(open_, k) if k < STARS else self._rest(open_, prefixes)
+            pairs = self._pairs(open_, prefixes, k)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = cut_lineage(pairs)
             tried = pairs if tried is None else tried.union(pairs)
             good = self.verified(pairs, prefixes)
             found = good if found is None else found.union(good)
-            if k < STARS:
-                labels = cut_lineage(self._labels(found))
+            if k is not None:
+                labels = components(found).withColumnRenamed("component", "label")
         return found
 
-    @staticmethod
-    def _labels(links: DataFrame) -> DataFrame:
-        """(node, label): the smallest node within a few links. Equal labels mean connected, which is all it is for."""
-        both = links.union(links.select("b", "a")).toDF("node", "near").distinct()
-        label = both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("label"))
-        for _ in range(2):
-            step = both.join(label.toDF("near", "far"), "near").groupBy("node").agg(F.min("far").alias("far"))
-            label = label.join(step, "node").select("node", F.least("label", "far").alias("label"))
-        return label
-
     @staticmethod
     def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
         """Entries of tokens whose nodes still differ in label."""
@@ -249,33 +318,33 @@ class _Join:
         e = e.withColumns({"lo": F.min("label").over(per_token), "hi": F.max("label").over(per_token)})
         return cut_lineage(e.where("lo < hi").drop("lo", "hi"))
 
-    def _star(self, e: DataFrame, k: int) -> DataFrame:
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos", "label")).alias("c")
-        stars = e.join(e.groupBy("token").agg(centre), "token").select(
-            F.struct("node", "n", "pos", "label").alias("x"), F.col("c").alias("y"))
-        return self._pairs(stars)
-
-    def _rest(self, e: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """All pairs of different labels under a token. Under a token of many nodes a pair must also share a token of
-        the second order, which is part of the key there."""
-        e = e.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("token")) > HOT)
-        keyed = e.where("not many").withColumn("key", F.col("token")).drop("many")
-        if self.orders > 1:
-            hot = cut_lineage(e.where("many").drop("many"))
-            nodes = hot.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-            second = self.sets(cut_lineage(self._of(prefixes, nodes)), 1).select("node", "p1")
-            second = second.dropDuplicates(["node"]).select("node", F.explode("p1").alias("second"))
-            hot = hot.join(second, "node")
-            keyed = keyed.unionByName(hot.withColumn("key", F.xxhash64("token", "second")).drop("second"))
-        else:
-            keyed = keyed.unionByName(e.where("many").withColumn("key", F.col("token")).drop("many"))
-        side = keyed.select("key", "token", F.struct("node", "n", "pos", "label").alias("x"))
-        met = side.join(side.withColumnRenamed("x", "y"), ["key", "token"]).where("x.node < y.node")
-        return self._pairs(met.select("x", "y"))
-
-    def _pairs(self, met: DataFrame) -> DataFrame:
-        met = met.where((F.col("x.label") != F.col("y.label")) & self.fits("x", "y"))
-        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    def _pairs(self, e: DataFrame, prefixes: DataFrame, forest: int | None) -> DataFrame:
+        """Pairs of different labels under a token that lengths, positions and marks allow: a forest of them, or all.
+        They are met inside tasks, in blocks of bounded size, and only those that pass leave them."""
+        blocks = F.ceil(F.count(F.lit(1)).over(W.partitionBy("token")) / F.lit(BLOCK)).cast("int")
+        e = e.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        cells = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
+            "node", "n", "pos", "label", "block", (F.col("block") != F.col("other")).alias("two"))
+        # a row of the cell (k, k) comes once, one of the cell (k, l) from either block
+        marks = prefixes.select("node", "marks").dropDuplicates(["node"])
+        rows = cells.join(marks, "node").select("key", "node", "n", "pos", "label", "block", "two", "marks")
+        percent = self.percent
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                t = t if held is None else pa.concat_tables([held, t])
+                keys = t.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+                held = t.slice(cut)
+                if cut:
+                    yield _near_pairs(t.slice(0, cut), percent, forest)
+            if held is not None:
+                yield _near_pairs(held, percent, forest)
+
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, kind: np.ndarray = NONSPACE,
