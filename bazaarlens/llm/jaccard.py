@@ -294,8 +294,11 @@ class _Join:
         by_size = W.partitionBy("token").orderBy("n")
         near = ((100 * F.lag("n").over(by_size) >= self.percent * F.col("n"))
                 | (100 * F.col("n") >= self.percent * F.lead("n").over(by_size)))
+        # the smallest partner that a token can bring leaves the most room for its place
+        partner = F.greatest(100 * F.min("n").over(W.partitionBy("token")), self.percent * F.col("n"))
+        room = 100 * (100 + self.percent) * (F.col("n") - F.col("pos")) >= self.percent * (100 * F.col("n") + partner)
         entries = cut_lineage(rows.repartition("token").dropDuplicates(["token", "node"])
-                              .withColumn("near", near).where("near").drop("near"))
+                              .withColumn("near", near & room).where("near").drop("near"))
         found, tried, labels = None, None, None
         for k in [*range(FORESTS), None]:
             open_ = entries.withColumn("label", F.col("node")) if labels is None else self._open(entries, labels)
