@@ -6,6 +6,8 @@ pointers and each becomes one formatted text with a loss mask. Reading back is p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,26 +53,32 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
         "conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"),
         F.col("score").alias("total")))
     total = step.count()
-    reach = []  # reach[k]: where each message's pointer leads after 2^k steps
+    reach, ended, held = [], [], None  # reach[k]: where the pointers of messages lead after 2^k steps
     while True:
-        reach.append(step.where("up is not null").select("conv", "node", "up"))
-        if (1 << (len(reach) - 1)) > total or not reach[-1].take(1):
+        open_, done = step.where("up is not null"), step.where("up is null")
+        reach.append(open_.select("conv", "node", "up"))
+        ended.append(done)
+        if (1 << (len(reach) - 1)) > total or not open_.take(1):
             break
-        over = step.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"),
-                           F.col("total").alias("total2"))
-        step = cut_lineage(step.join(over, ["conv", "up"], "left").select(
+        # only messages that have not met their root go on; the ended ones of their conversations answer them
+        live = open_.select("conv").distinct()
+        held = cut_lineage((done if held is None else held.union(done)).join(live, "conv", "left_semi"))
+        over = open_.union(held.select(*open_.columns)).select(
+            "conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"),
+            F.col("total").alias("total2"))
+        step = cut_lineage(open_.join(over, ["conv", "up"], "left").select(
             "conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
             (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
-    rooted = step.where("up is null")
+    rooted = reduce(DataFrame.union, ended)
     parents = reach[0].select("conv", F.col("up").alias("node"))
     leaves = rooted.join(parents, ["conv", "node"], "left_anti")
     order = W.partitionBy("conv").orderBy(F.desc("total"), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     paths = cut_lineage(chosen.select("conv", F.col("node").alias("leaf"), (F.col("depth") - 1).alias("place"), "node"))
     for k in reversed(range(len(reach) - 1)):
-        back = paths.join(reach[k], ["conv", "node"]).select(
+        back = paths.where(F.col("place") >= 1 << k).join(reach[k], ["conv", "node"]).select(
             "conv", "leaf", (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("node"))
-        paths = cut_lineage(paths.union(back))
+        paths = paths.union(cut_lineage(back))
     return paths
 
 
