@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm.tables import ship
 from bazaarlens.llm.words import slices
+from bazaarlens.session import cut_lineage
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
@@ -48,7 +49,7 @@ def length_histogram(counts: DataFrame) -> DataFrame:
 
     Sums run within blocks of lengths and over block totals, so no task sees more than the lengths of one block or one
     row per block. An empty table has no rows."""
-    hist = counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = cut_lineage(counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))  # texts are encoded once
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn(
         "tokens", F.col("n_tokens") * F.col("n_docs"))
     after = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
