@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over leaves, paragraphs and sections.
 
-Leaves are pieces of a paragraph that end before words chosen by their own hash, paragraphs end at line breaks, sections
-after paragraphs chosen by their digest, so an edit moves no boundary elsewhere. Equal roots mean equal texts; where
-roots differ, only differing branches are opened, down to the leaves that locate the edit."""
+Leaves are pieces of a paragraph that end where a rolling hash of the bytes before says so and have a largest size, which
+grows from one character at the start of a text to `LEAF_MOST` bytes. Paragraphs end at line breaks, sections after
+paragraphs chosen by their digest, so an edit moves no boundary far from it. Equal roots mean equal texts; where roots
+differ, only differing branches are opened, down to the leaves that locate the edit."""
 
 from __future__ import annotations
 
@@ -17,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.tables import small_batches
-from bazaarlens.llm.words import NONSPACE, column, hash_spans, slices, spans, text_bytes
+from bazaarlens.llm.words import column, mix, slices, text_bytes
 from bazaarlens.session import cut_lineage
 
-LEAF_WORDS = 8  # words of a leaf, on average
+LEAF = 32  # bytes of a leaf, on average
+LEAF_MOST = 64  # bytes of a leaf at most, but for the rest of a last character
+HEAD = 4  # a leaf that starts k bytes into a text has 1 + k / HEAD bytes at most
+ROLL = 8  # bytes under the rolling hash
+BLOCK = 1 << 20  # bytes hashed at once
 SECTION = 4  # paragraphs of a section, on average
 
 
@@ -44,10 +49,12 @@ class Tree:
 def trees(texts: pa.Array) -> Iterator[Tree]:
     """The tree of each text; null counts as empty, and an empty text has no leaf."""
     raw, bounds = text_bytes(texts)
-    starts, ends, _ = spans(raw, bounds, NONSPACE)
-    chosen = starts[hash_spans(raw, starts, ends) % np.uint64(LEAF_WORDS) == 0]
+    rolled = _rolled(raw)
+    chosen = np.flatnonzero(rolled % np.uint16(LEAF) == 0)
+    chosen = chosen[chosen - bounds[np.searchsorted(bounds, chosen, "right") - 1] >= ROLL]
     lines = np.flatnonzero(raw == 0x0A) + 1
     cuts = np.unique(np.concatenate([bounds, chosen, lines]))
+    cuts = np.unique(np.concatenate([cuts, _forced(rolled, cuts, bounds)]))
     new_line = np.isin(cuts, lines)
     data = raw.tobytes()
     at = np.searchsorted(cuts, bounds)
@@ -56,6 +63,44 @@ def trees(texts: pa.Array) -> Iterator[Tree]:
         yield _tree([data[cuts[k]: cuts[k + 1]] for k in range(lo, hi)], new_line[lo: hi])
 
 
+_INSIDE = 0xFFFF  # of a place inside a character
+_SAME = 0xFFFD  # of a place after a run of one byte, which would else be cut at each byte or at none
+
+
+def _rolled(raw: np.ndarray) -> np.ndarray:
+    """At each place a number of 16 bits from the `ROLL` bytes before it, odd where no leaf may end by itself."""
+    out = np.full(len(raw), _SAME, np.uint16)
+    for lo in range(ROLL, len(raw), BLOCK):
+        hi = min(lo + BLOCK, len(raw))
+        part = np.ascontiguousarray(raw[lo - ROLL: hi])
+        x = np.ndarray((hi - lo,), dtype="<u8", buffer=part.data, strides=(1,))
+        same = x == (x & np.uint64(0xFF)) * np.uint64(0x0101010101010101)
+        out[lo:hi] = np.where(same, _SAME, mix(x + np.uint64(1)) >> np.uint64(48))
+    out[(raw & 0xC0) == 0x80] = _INSIDE
+    return out
+
+
+def _forced(rolled: np.ndarray, cuts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Further cuts for leaves above their largest size: of the upper half of the sizes allowed, the place with the
+    least number, so that a text that repeats itself is cut at the same phase again."""
+    base = bounds[np.searchsorted(bounds, cuts[:-1], "right") - 1]
+    far = cuts[:-1] - base
+    wide = np.flatnonzero(np.diff(cuts) > np.minimum(LEAF_MOST, 1 + far // HEAD))
+    out = []
+    for s, e, base in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), base[wide].tolist()):
+        while e - s > (most := min(LEAF_MOST, 1 + (s - base) // HEAD)):
+            lo = s + most // 2 + 1
+            # where the text is young, the bytes before may be another text's
+            at = lo + int(rolled[lo: s + most + 1].argmin()) if lo - base >= ROLL else s + most
+            while at < e and rolled[at] == _INSIDE:
+                at += 1
+            if at == e:
+                break
+            out.append(at)
+            s = at
+    return np.array(out, np.int64)
+
+
 def _tree(pieces: list[bytes], new_line: list[bool]) -> Tree:
     leaves = [_digest(p) for p in pieces]
     paragraphs, counts, run = [], [], []
