@@ -8,7 +8,7 @@ word over the item-sized window. Documents never move: windows go to them in blo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
                                           ["item", "n", "words", "shingles"])
 
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     return items.mapInArrow(cut, "item string, n int, words binary, shingles array<long>")
 
 
@@ -107,11 +107,16 @@ def _document_counts(docs: DataFrame, keys: dict[int, _Keys]) -> dict[int, np.nd
     return out
 
 
+def _sorted(items: Iterable[str | None]) -> list[str | None]:
+    """Different items by name; one without an id comes last."""
+    return sorted(set(items), key=lambda x: (x is None, x or ""))
+
+
 class _Index:
     """Windows of one block under their rarest shingle."""
 
     def __init__(self, rows: list, shingle: int):
-        self.items = sorted({r["item"] for r in rows})
+        self.items = _sorted(r["item"] for r in rows)
         at = {x: i for i, x in enumerate(self.items)}
         self.item = np.array([at[r["item"]] for r in rows], np.int64)
         self.n = np.array([r["n"] for r in rows], np.int64)
@@ -206,7 +211,7 @@ def _state(size: int, doc, start, n, items) -> list[list]:
     spans = [[] for _ in range(size)]
     for d, x in sorted(set(zip(doc.tolist(), ((start << 16) + n).tolist()))):
         spans[d].append(x)
-    return [spans, [sorted(set(x)) for x in items]]
+    return [spans, [_sorted(x) for x in items]]
 
 
 def _totals(w: Words, doc, start, n, items) -> list[list]:
@@ -217,8 +222,8 @@ def _totals(w: Words, doc, start, n, items) -> list[list]:
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
     n_hit = (hit[w.bounds[1:]] - hit[w.bounds[:-1]]).tolist()
     counts = w.counts.tolist()
-    names = [sorted(set(x)) for x in items]
-    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+    names = [_sorted(x) for x in items]
+    sha = [hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in names]
     return [counts, n_hit, [len(x) for x in names], sha, [h > 0 and 20 * h >= c for h, c in zip(n_hit, counts)]]
 
 
@@ -228,7 +233,8 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | N
     words, hit words, items found, a digest of their names, and the decision (`RESULT`, underscored if taken).
 
     A text that is null or has no words has 0 words and is clean; rows may repeat; ties and extra columns do not
-    matter. Items without an id or without words are left out; an empty benchmark hits nothing."""
+    matter. Items without an id count as one item, which has no name in the digest. Items without words are left out; an
+    empty benchmark hits nothing."""
     keep = docs.columns if keep is None else keep
     names = fresh(docs, *RESULT)
     state = fresh(docs, "spans", "items")
