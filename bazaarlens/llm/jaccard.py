@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bazaarlens.llm.components import components
-from bazaarlens.llm.tables import bitmap, combine_parts, emit_parts, joined_parts, ship, slot, small_batches
+from bazaarlens.llm.tables import bitmap, combine_parts, emit_parts, fresh, joined_parts, ship, slot, small_batches
 from bazaarlens.llm.words import NONSPACE, column, mix, slices, words
 from bazaarlens.session import cut_lineage
 
@@ -150,16 +150,21 @@ def _near_pairs(rows: pa.Table, percent: int, forest: int | None) -> pa.RecordBa
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, size: int, percent: int, kind: np.ndarray, orders: int, bits: int):
+    def __init__(self, docs: DataFrame, size: int, percent: int, kind: np.ndarray, orders: int, bits: int,
+                 tied: bool = False):
         self.spark, self.size, self.percent, self.kind = docs.sparkSession, size, percent, kind
         self.orders, self.bits = orders, bits
         small_batches(self.spark)
         self.texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("at", F.xxhash64("text"))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.extra = ["tie"] if tied else []
+        if tied:
+            self.docs = self.docs.withColumn("tie", F.xxhash64("text"))
 
     def names(self) -> tuple[DataFrame, DataFrame]:
-        """A row (doc_id, n, node) per document, and parts of the frequency sketch; one pass over the texts."""
-        size, kind, bits = self.size, self.kind, self.bits
+        """A row (doc_id, n, node) per document, with a hash `tie` of its text if asked for, and parts of the frequency
+        sketch; one pass over the texts."""
+        size, kind, bits, extra = self.size, self.kind, self.bits, self.extra
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, seen = np.zeros(1 << bits, np.int64), set()
@@ -175,19 +180,20 @@ class _Join:
                             fresh_sets.append(s >> np.uint64(64 - bits))
                     if fresh_sets:
                         counts += np.bincount(np.concatenate(fresh_sets).astype(np.int64), minlength=1 << bits)
-                yield _named(ids, ns, nodes, [None] * len(ns), [None] * len(ns))
+                yield _named(ids, ns, nodes, [None] * len(ns), [None] * len(ns), [column(b, c) for c in extra])
             if counts.any():
                 parts, data = emit_parts(counts, PARTS)
                 none = [None] * len(parts)
-                yield _named(pa.array(none, pa.int64()), none, none, parts, data)
+                yield _named(pa.array(none, pa.int64()), none, none, parts, data, [pa.array(none, pa.int64()) for _ in extra])
 
-        def _named(ids, ns, nodes, parts, data):
+        def _named(ids, ns, nodes, parts, data, more):
             return pa.RecordBatch.from_arrays(
                 [ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()),
-                 pa.array(data, pa.binary())], ["doc_id", "n", "node", "part", "data"])
+                 pa.array(data, pa.binary()), *more], ["doc_id", "n", "node", "part", "data", *extra])
 
-        rows = cut_lineage(self.docs.mapInArrow(run, "doc_id long, n long, node long, part int, data binary"))
-        return (rows.where("part is null").select("doc_id", "n", "node"),
+        schema = ", ".join(["doc_id long, n long, node long, part int, data binary", *(f"{c} long" for c in extra)])
+        rows = cut_lineage(self.docs.mapInArrow(run, schema))
+        return (rows.where("part is null").select("doc_id", "n", "node", *extra),
                 rows.where("part is not null").select("part", "data"))
 
     def levels(self, parts: DataFrame) -> np.ndarray:
@@ -371,12 +377,32 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs per component, the one with the smallest doc_id, with its own columns only. A row without a
-    doc_id or without words stays; of rows that repeat a doc_id and its text one stays."""
-    ids = cut_lineage(jaccard_components(docs, **options))
-    gone = cut_lineage(ids.where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = cut_lineage(ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+def keep_one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, kind: np.ndarray = NONSPACE,
+                     orders: int = ORDERS, bits: int = SKETCH_BITS) -> DataFrame:
+    """One row of docs per component, with its own columns only: the one with the smallest doc_id, of these the one with
+    the smallest hash of its text; one without a doc_id only if no row of the component has one. A row without words
+    stays, but of those that repeat a doc_id and its text one stays."""
+    join = _Join(docs, size, percent, kind, orders, bits, tied=True)
+    named, parts = join.names()
+    found = components(join.links(join.prefixes(join.levels(parts))))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    least = named.where("node is not null").groupBy("node").agg(F.min(key).alias("least"))
+    grouped = cut_lineage(least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = grouped.groupBy("component").agg(F.min("least").alias("first"))
+    firsts = first.select("first.doc_id", "first.tie")
+    # a key (doc_id, tie) is one text, so its rows are all of one component or all without words
+    wordless = named.where("node is null").groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
+    again = named.where("node is not null").groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
+    once, i, t = fresh(docs, "once", "its_id", "its_tie")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(i), F.col("tie").alias(t), F.col(once))
+
+    same = F.col(i).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(t) == F.xxhash64(F.col("text").cast("string")))
+    held = firsts.join(again.withColumnsRenamed({"doc_id": i, "tie": t}),
+                       F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("tie") == F.col(t)))
+    keep = cut_lineage(keys(held.select("doc_id", "tie", (F.col("rows") > 1).alias(once))).unionByName(
+        keys(wordless.withColumn(once, (F.col("rows") > 1) & F.col("doc_id").isNotNull()))))
+    kept = docs.join(keep.where(~F.col(once)), same, "left_semi")
+    repeated = docs.join(keep.where(F.col(once)), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(repeated).select(*docs.columns)
