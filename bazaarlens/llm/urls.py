@@ -64,19 +64,33 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, whole)
 
 
+def resolved(url: Column, target: Column) -> Column:
+    """A link target as a whole url, completed from the page's own; null if that has no `://` to complete from, or if
+    the target has a scheme without `://`."""
+    head, tail = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = path_of(url)
+    folder = F.concat(F.regexp_replace(own, r"[^/]*$", ""), F.when(own.startswith("/"), "").otherwise("/"))
+    path = F.when(head == "", own).when(head.startswith("/"), head).otherwise(F.concat(folder, head))
+    steps = F.split(F.regexp_replace(path, r"(?<=/)(\.\.?)$", "$1/"), "/")
+    steps = F.aggregate(steps, F.array().cast("array<string>"), lambda have, x: F.when(x == ".", have).when(
+        x == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.least(F.size(have), F.lit(1)))))
+        .otherwise(F.array_append(have, x)))  # the first step is the empty one before the first slash
+    scheme = F.regexp_extract(url, "(?s)^(.*?)://", 1)
+    whole = F.concat(scheme, F.lit("://"), host_of(url), F.array_join(steps, "/"), tail)
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(F.instr(target, "://") > 0, target))
+            .when(F.instr(url, "://") == 0, None).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("#"), F.concat(F.regexp_extract(url, "(?s)^[^#]*", 0), target)).otherwise(whole))
+
+
 def declared(url: Column, html: Column) -> Column:
-    """Urls that a page names as itself: canonical links and refresh redirects. A link that begins with `//` or `/` is
-    completed from the page's own url."""
+    """Urls that a page names as itself: all its canonical links and refresh redirects, relative ones completed from the
+    page's own url."""
     attr = r"""[^>]*\b{}\s*=\s*["']?[^"'>]*{}"""
     rel, href = r"""\brel\s*=\s*["']?canonical\b""", r"""\bhref\s*=\s*["']?([^"'\s>]+)"""
-    links = F.array(
-        F.regexp_extract(html, rf"(?is)<link\b[^>]*{rel}[^>]*{href}", 1),
-        F.regexp_extract(html, rf"(?is)<link\b[^>]*{href}[^>]*{rel}", 1),
-        F.regexp_extract(html, rf"""(?is)<meta{attr.format('http-equiv', 'refresh')}[^>]*url=\s*["']?([^"'\s>;]+)""", 1))
-    scheme, host = F.regexp_extract(url, "(?s)^(.*?)://", 1), host_of(url)
-    full = F.transform(links, lambda x: F.when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
-                       .when(x.startswith("/"), F.concat(scheme, F.lit("://"), host, x)).otherwise(x))
-    return F.array_distinct(F.filter(full, lambda x: F.instr(x, "://") > 0))
+    patterns = (rf"(?is)<link\b[^>]*{rel}[^>]*{href}", rf"(?is)<link\b[^>]*{href}[^>]*{rel}",
+                rf"""(?is)<meta{attr.format('http-equiv', 'refresh')}[^>]*url=\s*["']?([^"'\s>;]+)""")
+    links = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns])
+    return F.array_distinct(F.array_compact(F.transform(links, lambda x: resolved(url, x))))
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
