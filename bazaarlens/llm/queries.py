@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import (chat, decontaminate, jaccard, langid, lengths, licences, merkle, pieces, scoring,
+from bazaarlens.llm import (chat, decontaminate, jaccard, langid, lengths, licences, merkle, orchard, pieces, scoring,
                             urls)
 from bazaarlens.llm.tables import table
 
@@ -120,6 +120,32 @@ def op10_licence_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.clusters(table(spark, folder, "embeddings"))
+
+
+def _op12() -> str:
+    """Ten rounds of plain k-means: all distances, and of equals the smaller number."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x
+     FROM embeddings WHERE len(embedding) = 64
+     AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)""",
+             """c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS c, x
+     FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8))"""]
+    for r in range(11):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, min(struct_pack(d := d, c := c)) AS m
+     FROM (SELECT v.vec_id, v.x, c.c, {gap} AS d FROM v, c{r} c) GROUP BY vec_id, x)""")
+        if r < 10:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.x, o.x) AS x FROM c{r} o LEFT JOIN (
+       SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY i) AS x FROM (
+         SELECT m.c AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) AS t(i) GROUP BY ALL)
+       GROUP BY c) n USING (c))""")
+    return "WITH " + ",\n ".join(parts) + """
+SELECT vec_id, m.c AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON c10.c = m.c"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -127,9 +153,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (op1_backoff_scores, op2_decontamination, op3_language_id, op4_chat_formatting, op5_sentencepiece,
-             op6_jaccard_join, op7_url_filters, op8_fingerprints, op9_token_counts, op10_licence_scans, pipeline)
+             op6_jaccard_join, op7_url_filters, op8_fingerprints, op9_token_counts, op10_licence_scans, op12_centroid_clustering,
+             pipeline)
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_backoff_scores": OP1, "op2_decontamination": OP2, "op4_chat_formatting": OP4}
+    return {"op1_backoff_scores": OP1, "op2_decontamination": OP2, "op4_chat_formatting": OP4,
+            "op12_centroid_clustering": _op12()}
