@@ -18,37 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.vectors import SCALE, added, integers, matrix, sums_batch, whole_vectors
 from bazaarlens.session import cut_lineage
 
-SCALE = 1024
 DIMS = 64
 CENTROIDS = 8
 ROUNDS = 10
 _NARROW = 2.0 ** 25  # components up to this size: four times a squared distance of 64 of them fits 64 bits
-_FAN = 32
 _LONG = 2 ** 63
 
 
-def whole_vectors(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
-    """vec_id and the vector as doubles, where it has exactly `dims` components, none null, NaN or infinite."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v")).where((F.size("v") == dims) & finite)
-
-
-def integers(data: np.ndarray, wide: bool, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) exactly: as 64-bit numbers, or as Python's for components that do not fit."""
-    if not wide:
-        return np.floor(data * scale).astype(np.int64)
-    flat = [int(x) * scale if abs(x) >= 2 ** 53 else int(np.floor(x * scale)) for x in data.ravel().tolist()]
-    return np.array(flat, object).reshape(data.shape)
-
-
-def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
-    """A list column without nulls as rows of doubles."""
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dims)
-
-
 class Orchard:
     """Nearest centroid of many vectors at once; all numbers are integers."""
 
@@ -83,35 +62,13 @@ class Orchard:
         return at, best
 
 
-def _added(rows: DataFrame) -> DataFrame:
-    """Rows (cluster, n, sums) added up per cluster; sums are decimal numbers joined by commas, so they never overflow."""
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = {}
-        for b in batches:
-            for c, n, s in zip(*(b.column(i).to_pylist() for i in range(3))):
-                m, t = have.get(c, (0, 0))
-                have[c] = (m + n, t + np.array([int(x) for x in s.split(",")], object))
-        yield sums_batch(have)
-
-    schema = "cluster int, n long, sums string"
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("sums"), F.lit(_FAN)))
-    once = salted.repartition("cluster", "salt").drop("salt").mapInArrow(fold, schema)
-    return once.repartition("cluster").mapInArrow(fold, schema)
-
-
-def sums_batch(have: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(have), pa.int32()), pa.array([n for n, _ in have.values()], pa.int64()),
-         pa.array([",".join(map(str, s)) for _, s in have.values()], pa.string())], ["cluster", "n", "sums"])
-
-
 def _assigned(kept: DataFrame, centroids: np.ndarray, wide: bool) -> DataFrame:
-    dims, scale = centroids.shape[1], SCALE
+    dims = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Orchard(centroids)
         for b in batches:
-            at, d = index.nearest(integers(matrix(b.column(1), dims), wide, scale))
+            at, d = index.nearest(integers(matrix(b.column(1), dims), wide))
             d = [x if x < _LONG else None for x in d.tolist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array(d, pa.int64())],
                                              ["vec_id", "cluster", "distance"])
@@ -120,12 +77,12 @@ def _assigned(kept: DataFrame, centroids: np.ndarray, wide: bool) -> DataFrame:
 
 
 def _sums(kept: DataFrame, centroids: np.ndarray, wide: bool) -> DataFrame:
-    dims, scale = centroids.shape[1], SCALE
+    dims = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, have = Orchard(centroids), {}
         for b in batches:
-            x = integers(matrix(b.column(1), dims), wide, scale)
+            x = integers(matrix(b.column(1), dims), wide)
             at, _ = index.nearest(x)
             for c in np.unique(at).tolist():
                 own = x[at == c]
@@ -133,7 +90,7 @@ def _sums(kept: DataFrame, centroids: np.ndarray, wide: bool) -> DataFrame:
                 have[c] = (n + len(own), s + own.sum(axis=0).astype(object))
         yield sums_batch(have)
 
-    return _added(kept.mapInArrow(run, "cluster int, n long, sums string"))
+    return added(kept.mapInArrow(run, "cluster int, n long, sums string"))
 
 
 def seeds(kept: DataFrame, k: int, wide: bool) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import (chat, decontaminate, jaccard, langid, lengths, licences, merkle, orchard, pieces, scoring,
-                            urls)
+                            urls, whitening)
 from bazaarlens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,10 @@ SELECT vec_id, m.c AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c
 FROM a10 JOIN c10 ON c10.c = m.c"""
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, folder)
@@ -154,7 +158,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (op1_backoff_scores, op2_decontamination, op3_language_id, op4_chat_formatting, op5_sentencepiece,
              op6_jaccard_join, op7_url_filters, op8_fingerprints, op9_token_counts, op10_licence_scans, op12_centroid_clustering,
-             pipeline)
+             op13_embedding_whitening, pipeline)
     return {q.__name__: q for q in every}
 
 

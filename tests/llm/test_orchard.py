@@ -37,9 +37,9 @@ def plain(rows, k, rounds, dims):
 
 def case(seed, n, dims, size):
     r = random.Random(seed)
-    rows = [(i if r.random() < 0.9 else None, [r.choice([-1, 0, 0.5, r.uniform(-1, 1)]) * size for _ in range(dims)], "x", 1)
+    rows = [(i if r.random() < 0.9 else None, [float(r.choice([-1, 0, 0.5, r.uniform(-1, 1)]) * size) for _ in range(dims)], "x", 1)
             for i in range(n)]
-    rows += [rows[0], rows[1], (rows[2][0], rows[3][1], None, None)] * 3
+    rows += [rows[0], rows[1], (rows[0][0], rows[-1][1], None, None)] * 3
     bad = [(900, None), (901, [1.0] * (dims + 1)), (902, [None] + [1.0] * (dims - 1)), (903, []),
            (904, [float("nan")] * dims), (905, [float("inf")] * dims)]
     return rows + [(i, e, "x", 1) for i, e in bad]
