@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import (chat, decontaminate, jaccard, langid, lengths, licences, merkle, orchard, pieces, scoring,
-                            urls, whitening)
+from bazaarlens.llm import (boilerplate, chat, decontaminate, jaccard, langid, lengths, licences, merkle, orchard,
+                            pieces, scoring, urls, whitening)
 from bazaarlens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,10 @@ def op10_licence_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, folder, "pages"))
+
+
 def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return orchard.clusters(table(spark, folder, "embeddings"))
 
@@ -157,8 +161,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (op1_backoff_scores, op2_decontamination, op3_language_id, op4_chat_formatting, op5_sentencepiece,
-             op6_jaccard_join, op7_url_filters, op8_fingerprints, op9_token_counts, op10_licence_scans, op12_centroid_clustering,
-             op13_embedding_whitening, pipeline)
+             op6_jaccard_join, op7_url_filters, op8_fingerprints, op9_token_counts, op10_licence_scans,
+             op11_html_extraction, op12_centroid_clustering, op13_embedding_whitening, pipeline)
     return {q.__name__: q for q in every}
 
 
