@@ -33,6 +33,7 @@ SKETCH_BITS = 20  # slots of the frequency sketch: 8 MB in a task, 1 MB as broad
 PARTS = 16
 FORESTS = 1  # forest rounds before the pairs that remain
 BLOCK = 1024  # a longer posting list is cut into blocks that meet two at a time
+SLOT_BITS = 27  # most bits of the table that tells kept rows apart: 16 MB
 MARKS = (256, 8192)  # fewest and most bits of the parity marks of a set
 _SEEDS = [np.uint64(0xA24BAED4963EE407 * (2 * k + 1) % 2**64) for k in range(8)]
 
@@ -393,16 +394,29 @@ def keep_one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     # a key (doc_id, tie) is one text, so its rows are all of one component or all without words
     wordless = named.where("node is null").groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
     again = named.where("node is not null").groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
-    once, i, t = fresh(docs, "once", "its_id", "its_tie")
-
-    def keys(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("doc_id").alias(i), F.col("tie").alias(t), F.col(once))
-
+    suspects = again.join(firsts.withColumn("first", F.lit(True)), [
+        again["doc_id"].eqNullSafe(firsts["doc_id"]), again["tie"] == firsts["tie"]], "left").select(
+        again["doc_id"], again["tie"], F.col("first").isNull().alias("drop"), "rows").where("drop or rows > 1")
+    more = wordless.where("rows > 1 and doc_id is not null").select("doc_id", "tie", F.lit(False).alias("drop"), "rows")
+    return _without(docs, cut_lineage(suspects.unionByName(more).select("doc_id", "tie", "drop")))
+
+
+def _without(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """docs without the rows whose key (doc_id, hash of the text) is to drop, and one row of each other suspect key.
+
+    A bit table with sixteen slots a suspect, up to a fixed size, tells rows whose key is surely none of them: they
+    pass in place. Only the others, about as many as suspects, meet the keys."""
+    i, t, drop, word, bits = fresh(docs, "its_id", "its_tie", "its_drop", "its_word", "its_bits")
+    size = min(max(1 << 16, 1 << (16 * suspects.count()).bit_length()), 1 << SLOT_BITS)
+    slot = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(size))
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)).cast("int"))
+    keyed = suspects.withColumn("slot", slot(F.col("doc_id"), F.col("tie")))
+    table = keyed.groupBy(F.floor(F.col("slot") / 64).alias(word)).agg(F.bit_or(bit(F.col("slot"))).alias(bits))
+    own = slot(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    marked = docs.withColumn(word, F.floor(own / 64)).join(F.broadcast(table), word, "left")  # 2^SLOT_BITS / 64 rows at most
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(own)) != 0, F.lit(False))
+    clear = marked.where(~hit).select(*docs.columns)
     same = F.col(i).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(t) == F.xxhash64(F.col("text").cast("string")))
-    held = firsts.join(again.withColumnsRenamed({"doc_id": i, "tie": t}),
-                       F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("tie") == F.col(t)))
-    keep = cut_lineage(keys(held.select("doc_id", "tie", (F.col("rows") > 1).alias(once))).unionByName(
-        keys(wordless.withColumn(once, (F.col("rows") > 1) & F.col("doc_id").isNotNull()))))
-    kept = docs.join(keep.where(~F.col(once)), same, "left_semi")
-    repeated = docs.join(keep.where(F.col(once)), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(repeated).select(*docs.columns)
+    met = marked.where(hit).join(suspects.toDF(i, t, drop), same, "left")
+    again = met.where(~F.col(drop)).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(met.where(F.col(drop).isNull()).select(*docs.columns)).unionByName(again)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.words import mix
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,10 +90,13 @@ def slot(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of few rows, so that a worker holds little beside its arrays. A session that
-    asks for even fewer keeps its setting."""
+    """Whole texts go to Python in batches of few rows and bytes, so that a worker holds little beside its arrays. A
+    session that asks for even less keeps its settings; the settings stay, since frames are computed later."""
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    have = spark.conf.get(_BYTES)
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:

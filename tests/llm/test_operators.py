@@ -240,22 +240,3 @@ def test_licences(spark):
         assert set(base) <= set(r["labels"].split(",")) and (r["score"] == 1.0 or not base)
         if r["doc_id"] == -1:
             assert "cc-by-nc" in r["labels"].split(",")
-
-
-def test_pipeline_against_its_operators(spark):
-    import corpus_pipeline
-    docs = documents(spark)
-    out = {r[0]: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    first = {i for i, _, c in brute_components(rows, 5, 80) if i == c}
-    grams = Counter()
-    for t, in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("text").collect():
-        w = re.findall(licences.WORD, low(t))
-        grams.update(tuple(w[k: k + 13]) for k in range(len(w) - 12))
-    for i, t in rows:
-        w = re.findall(licences.WORD, low(t))
-        hit = {k + j for k in range(len(w) - 12) if tuple(w[k: k + 13]) in grams for j in range(13)}
-        if i in out:
-            assert i in first and (not hit or 20 * len(hit) < len(w))
-    assert all(r["round_trip"] for r in out.values()) and set(queries.queries()) <= set(entry.queries())
-    assert len(out) >= 0.9 * len([i for i in first])
