@@ -1,10 +1,8 @@
 """Ordered operators that survive a hot key.
 
-A plain window sorts one key's rows in one task: the cheapest plan while keys are small, and a dead end when one key
-holds a third of the table. So the size of the largest key is measured first. Where it is small the plain window is
-used. Otherwise each key is cut into chunks that are monotone in the order (a day of a time line, a block of line
-numbers), the window runs inside (key, chunk), each chunk is reduced to one row, the window runs over that far smaller
-table, and the two are joined. Both plans give the same rows.
+A plain window sorts one key's rows in one task, a dead end when one key holds a third of the table. So each key is cut
+into chunks that are monotone in the order (a day of a time line, a block of line numbers), the window runs inside
+(key, chunk), each chunk is reduced to one row, the window runs over that far smaller table, and the two are joined.
 
 `chunk` must be a function of the first order column that never decreases with it.
 """
@@ -17,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-HOT_ROWS = 2_000_000  # rows of one key that one task may sort
 
 
 def by_days(ts: Column, days: int = 1) -> Column:
@@ -28,25 +25,15 @@ def by_rows(position: Column, rows: int = 65536) -> Column:
     return F.floor(position / rows)
 
 
-def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether some key has more than `hot_rows` rows. One aggregate over the key columns; one row comes back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where(F.col("n") > hot_rows).limit(1).count() > 0
-
-
 @dataclass(frozen=True)
 class Line:
-    """A key, its order, and how to cut it. `hot` None means measure."""
+    """A key, its order, and how to cut it."""
     keys: list[str]
     order: list[Column]
     chunk: Column
-    hot: bool | None = None
-
-    def measured(self, df: DataFrame) -> Line:
-        return self if self.hot is not None else Line(self.keys, self.order, self.chunk, has_hot_key(df, self.keys))
 
     def reversed(self) -> Backward:
-        return Backward(self.keys, self.order, self.chunk, self.hot)
+        return Backward(self.keys, self.order, self.chunk)
 
     def sorting(self) -> list[Column]:
         return self.order
@@ -57,9 +44,8 @@ class Line:
     def cut(self, df: DataFrame) -> DataFrame:
         return df.withColumn(CHUNK, self.chunk)
 
-    def within(self, hot: bool):
-        keys = self.cells() if hot else self.keys
-        return Window.partitionBy(*keys).orderBy(*self.sorting())
+    def within(self):
+        return Window.partitionBy(*self.cells()).orderBy(*self.sorting())
 
     def over_chunks(self):
         return Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,10 +77,7 @@ def _with_carry(df: DataFrame, carry: DataFrame, line: Line) -> DataFrame:
 
 def running_sum(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame:
     """Inclusive running sum of `value` per key."""
-    line = line.measured(df)
-    frame = line.within(line.hot).rowsBetween(Window.unboundedPreceding, 0)
-    if not line.hot:
-        return df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    frame = line.within().rowsBetween(Window.unboundedPreceding, 0)
     marked = line.cut(df).withColumn("_v", value)
     totals = marked.groupBy(*line.cells()).agg(F.sum("_v").alias("_t"))
     carry = totals.select(*line.cells(), F.coalesce(F.sum("_t").over(line.over_chunks()), F.lit(0)).alias("_carry"))
@@ -105,10 +88,7 @@ def running_sum(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame
 
 def row_number(df: DataFrame, line: Line, out: str) -> DataFrame:
     """1-based position per key; the order must be total for a stable answer."""
-    line = line.measured(df)
-    place = F.row_number().over(line.within(line.hot)).cast("long")
-    if not line.hot:
-        return df.withColumn(out, place)
+    place = F.row_number().over(line.within()).cast("long")
     marked = line.cut(df)
     totals = marked.groupBy(*line.cells()).agg(F.count(F.lit(1)).alias("_t"))
     carry = totals.select(*line.cells(), F.coalesce(F.sum("_t").over(line.over_chunks()), F.lit(0)).alias("_carry"))
@@ -118,10 +98,7 @@ def row_number(df: DataFrame, line: Line, out: str) -> DataFrame:
 
 def prefix_max(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame:
     """The largest `value` among the rows before this one; null on a key's first row."""
-    line = line.measured(df)
-    frame = line.within(line.hot).rowsBetween(Window.unboundedPreceding, -1)
-    if not line.hot:
-        return df.withColumn(out, F.max(value).over(frame))
+    frame = line.within().rowsBetween(Window.unboundedPreceding, -1)
     marked = line.cut(df).withColumn("_v", value)
     tops = marked.groupBy(*line.cells()).agg(F.max("_v").alias("_t"))
     carry = tops.select(*line.cells(), F.max("_t").over(line.over_chunks()).alias("_carry"))
@@ -133,13 +110,10 @@ def prefix_max(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame:
 def previous(df: DataFrame, line: Line, value: Column, out: str, skip_nulls: bool = False) -> DataFrame:
     """The value of the row before (`lag`), or with `skip_nulls` the last non-null value before. On a reversed line
     that is the row after."""
-    line = line.measured(df)
-    frame = line.within(line.hot).rowsBetween(Window.unboundedPreceding, -1)
+    frame = line.within().rowsBetween(Window.unboundedPreceding, -1)
     boxed = F.struct(value.alias("v"))  # a box keeps a null value apart from a missing row
     if skip_nulls:
         boxed = F.when(value.isNotNull(), boxed)
-    if not line.hot:
-        return df.withColumn(out, F.last(boxed, ignorenulls=True).over(frame)["v"])
     marked = line.cut(df).withColumn("_v", boxed)
     lasts = marked.groupBy(*line.cells()).agg(line.last("_v").alias("_t"))
     if skip_nulls:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import captions
 from bazaarlens.functions.vectors import cosine
-from bazaarlens.operators import blocks, screening
+from bazaarlens.operators import blocks, cells, screening
+from bazaarlens.session import cut_lineage
 from bazaarlens.sources.tables import first_rows
 
 # Neighbour and label thresholds, and limits of the outbox and of wishlists.
@@ -19,6 +20,7 @@ LABEL_FLOOR, LABEL_MARGIN = 0.08, 0.03
 MAX_ACTIVE_WISHLISTS = 10
 TOP_MATCHES = 100
 OUTBOX_LIMIT, OUTBOX_ATTEMPTS = 50, 3
+FIRST_WAVE = 4  # times k: rows a search looks at before it bounds the rest
 ANY, UNKNOWN = "*", "?"
 
 
@@ -156,18 +158,26 @@ def feed_page(listings: DataFrame, *, cursor: tuple[Column, Column] | None = Non
 
 
 def nearest(queries: DataFrame, listings: DataFrame, k: int, *, query_id: str, query_post: str | None = None,
-            query_session: str | None = None, descending_id: bool = False) -> DataFrame:
-    """The k most similar listings per query row: (query id, listing_id, cos, place). Exact: every block pair is
-    scored and ships its k best per row; the final k come from those. Queries: query id, query_vec; listings:
-    listing_id, embedding and, for the exclusions, post_id and owner_session."""
+            query_session: str | None = None, descending_id: bool = False,
+            rows_per_pivot: int = cells.ROWS_PER_PIVOT) -> DataFrame:
+    """The k most similar listings per query row: (query id, listing_id, cos, place). Queries: query id, query_vec;
+    listings: listing_id, embedding and, for the exclusions, post_id and owner_session.
+
+    Exact, best cells first: a query visits the cells with the smallest lower bounds of their angle until they hold a
+    few times k rows; the k-th score found there then rules out every other cell whose bound is beyond it, and the rest
+    are visited. A cell ships its k best per query."""
     sign = -1 if descending_id else 1
     session = F.coalesce(F.col(query_session), F.lit("")) if query_session else F.lit("")
-    left = blocks.one_group(queries.select(
+    left = queries.where(F.col("query_vec").isNotNull()).select(
         F.col(query_id).alias("query_id"), "query_vec", session.alias("for_session"),
-        (F.col(query_post) if query_post else F.lit(-1)).cast("long").alias("for_post")))
-    right = blocks.one_group(listings.select(
+        (F.col(query_post) if query_post else F.lit(-1)).cast("long").alias("for_post"))
+    index = cells.Index(listings.select(
         "listing_id", "embedding", F.col("post_id").cast("long").alias("post_id"),
-        (F.coalesce("owner_session", F.lit("")) if query_session else F.lit("")).alias("session")))
+        (F.coalesce("owner_session", F.lit("")) if query_session else F.lit("")).alias("session")), "embedding",
+        rows_per_pivot)
+    if not len(index.table.cells):
+        return left.limit(0).select(F.col("query_id").alias(query_id), F.lit(0).cast("long").alias("listing_id"),
+                                    F.lit(0.0).alias("cos"), F.lit(0).alias("place"))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         vectors, ids = blocks.matrix(b["embedding"]), b["listing_id"].to_numpy()
@@ -181,11 +191,21 @@ def nearest(queries: DataFrame, listings: DataFrame, k: int, *, query_id: str, q
             found.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[r], "listing_id": ids[c], "cos": s}))
         return pd.concat(found)
 
-    partial = blocks.block_join(left, right, ["_all"], "query_id", "listing_id", score,
-                                "query_id long, listing_id long, cos double")
     by_id = F.col("listing_id").desc() if descending_id else F.col("listing_id")
-    return first_rows(partial, ["query_id"], [F.col("cos").desc(), by_id], k, "place").withColumnRenamed(
-        "query_id", query_id)
+
+    def best(rows: DataFrame) -> DataFrame:
+        return first_rows(rows, ["query_id"], [F.col("cos").desc(), by_id], k, "place")
+
+    def wave(rows: DataFrame, visited: Column) -> DataFrame:
+        return blocks.block_join(rows.withColumn("cell", F.explode(visited)).select(*left.columns, "cell"), index.rows,
+                                 ["cell"], "query_id", "listing_id", score, "query_id long, listing_id long, cos double")
+
+    wanted = FIRST_WAVE * k
+    first = cut_lineage(best(wave(left, index.visits(F.col("query_vec"), wanted))))
+    kth = first.where(F.col("place") == k).select("query_id", F.col("cos").alias("least"))
+    open_ = left.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    second = wave(open_, index.visits(F.col("query_vec"), wanted, F.col("least")))
+    return best(first.drop("place").unionByName(second)).withColumnRenamed("query_id", query_id)
 
 
 def brand_vote(neighbours: DataFrame, query: str, min_votes: int = MIN_VOTES) -> DataFrame:

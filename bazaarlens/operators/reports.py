@@ -165,10 +165,9 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
 def state_alerts(beats: DataFrame, line: Line) -> DataFrame:
     """One alert per entry into a bad state: the same state again is silent until the source was open in between. A
     deliberate shutdown never alerts. Expects state and detail."""
-    line = line.measured(beats)
     epochs = chunked.running_sum(beats, line, (F.col("state") == "open").cast("int"), "_epoch")
     eligible = epochs.where(F.col("state").isin(*BAD_STATES) & ~F.col("detail").eqNullSafe("shutdown"))
-    inner = Line([*line.keys, "_epoch"], line.order, line.chunk, line.hot)
+    inner = Line([*line.keys, "_epoch"], line.order, line.chunk)
     seen = chunked.previous(eligible, inner, F.col("state"), "_told")
     return seen.where(~F.col("state").eqNullSafe(F.col("_told"))).drop("_told", "_epoch")
 

@@ -24,7 +24,7 @@ def is_captioned(caption: Column) -> Column:
 
 
 def post_line(msgs: DataFrame) -> Line:
-    return Line(["post_id"], [F.col("seq")], chunked.by_rows(F.col("seq"))).measured(msgs)
+    return Line(["post_id"], [F.col("seq")], chunked.by_rows(F.col("seq")))
 
 
 def image_runs(msgs: DataFrame, line: Line) -> DataFrame:
@@ -46,9 +46,9 @@ def run_table(runs: DataFrame) -> DataFrame:
         F.max("run_caption").alias("segment_caption"), F.count("image_id").alias("n_images"))
 
 
-def number_segments(table: DataFrame, hot: bool | None) -> DataFrame:
+def number_segments(table: DataFrame) -> DataFrame:
     """Dense 0-based `segment_idx` over the runs that have a usable photo."""
-    line = Line(["post_id"], [F.col("run")], chunked.by_rows(F.col("run")), hot)
+    line = Line(["post_id"], [F.col("run")], chunked.by_rows(F.col("run")))
     kept = chunked.row_number(table.where("n_images > 0"), line, "_place")
     return kept.withColumn("segment_idx", F.col("_place") - 1).drop("_place")
 
@@ -57,7 +57,7 @@ def segment_posts(msgs: DataFrame, line: Line | None = None) -> DataFrame:
     """One row per usable photo: its segment and the segment's caption."""
     line = line or post_line(msgs)
     runs = image_runs(msgs, line)
-    segments = number_segments(run_table(runs), line.hot).select("post_id", "run", "segment_idx", "segment_caption")
+    segments = number_segments(run_table(runs)).select("post_id", "run", "segment_idx", "segment_caption")
     usable = runs.where(F.col("image_id").isNotNull()).drop("caption", "run_caption", "kind")
     return usable.join(segments, ["post_id", "run"]).drop("run")
 

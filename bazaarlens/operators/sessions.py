@@ -30,8 +30,8 @@ def first_arrivals(msgs: DataFrame, order: list[Column]) -> DataFrame:
     return msgs.withColumn("_rn", F.row_number().over(place)).where("_rn = 1").drop("_rn")
 
 
-def sender_line(order: list[Column], chunk: Column, hot: bool | None = None) -> Line:
-    return Line(["chat", "sender"], order, chunk, hot)
+def sender_line(order: list[Column], chunk: Column) -> Line:
+    return Line(["chat", "sender"], order, chunk)
 
 
 def album_islands(msgs: DataFrame, line: Line, idle_s: float) -> DataFrame:
@@ -39,7 +39,6 @@ def album_islands(msgs: DataFrame, line: Line, idle_s: float) -> DataFrame:
     an album whatever its state, so islands can be worked on independently.
 
     Expects chat, sender, ts_s (double). The gap is measured from the latest time seen before, in arrival order."""
-    line = line.measured(msgs)
     seen = chunked.prefix_max(msgs, line, F.col("ts_s"), "_latest")
     cut = F.when(F.col("_latest").isNull() | (F.col("ts_s") - F.col("_latest") > idle_s), 1).otherwise(0)
     return chunked.running_sum(seen, line, cut, "island").drop("_latest")
@@ -49,7 +48,7 @@ def number_albums(msgs: DataFrame, line: Line, rules: AlbumRules = AlbumRules())
     """Adds `island` and `album`. An island that breaks no cap is one album, which the JVM decides from its totals;
     only the others are folded message by message."""
     run = ["chat", "sender", "island"]
-    islands = album_islands(first_arrivals(msgs, line.order), line.measured(msgs), rules.idle_s)
+    islands = album_islands(first_arrivals(msgs, line.order), line, rules.idle_s)
     photo = F.col("kind") == "image"
     whole_run = Window.partitionBy(*run)
     first = F.first("ts_s").over(whole_run.orderBy(*line.order).rowsBetween(Window.unboundedPreceding, 0))
@@ -111,7 +110,6 @@ def sliding_quota(hits: DataFrame, line: Line, at_us: str, *, limit: int, window
     are folded, together with the quiet hits of the window before them; two stretches a window apart are independent."""
     width = window_s * MICROS
     at = F.col(at_us)
-    line = line.measured(hits)
     counted = chunked.trailing_count(hits, line.keys, at, width, "_n")
     loud = F.col("_n") > limit
     seen = chunked.previous(counted, line.reversed(), F.when(loud, at), "_ahead", skip_nulls=True)

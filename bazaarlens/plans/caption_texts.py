@@ -53,7 +53,7 @@ def caption_sql(n: str, table: str, keep: str, p: str = "") -> str:
 
 
 def seller_captions(spark, folder: str) -> DataFrame:
-    orders = t.spread(t.load_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id")))
+    orders = t.dealt(t.load_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id")), "id")
     return orders.withColumn("caption", caption(F.col("id"))).withColumn("extra", caption(F.col("id") * 7 + 3))
 
 
@@ -65,7 +65,7 @@ def buyer_queries(spark, folder: str) -> DataFrame:
     money = F.when(n % 6 == 0, F.concat(F.lit("under "), (1000 + n % 900).cast("string"))).when(
         n % 6 == 1, "below rs 4.5k").when(n % 6 == 2, "budget 3k").when(n % 6 == 3, "price 4000")
     text = F.concat_ws(" ", words, _pick(n, ("nike", "Adidas", "jordan")), F.lit("shoes"), size, money)
-    return t.spread(t.load_table(spark, folder, "orders").select("o_orderkey")).select(n.alias("id"), text.alias("q"))
+    return t.dealt(t.load_table(spark, folder, "orders").select("o_orderkey"), "o_orderkey").select(n.alias("id"), text.alias("q"))
 
 
 BUYER_SQL = """
@@ -78,7 +78,7 @@ BUYER_SQL = """
 
 
 def tag_lines(spark, folder: str) -> DataFrame:
-    e = t.spread(t.load_table(spark, folder, "events").select("event_id", "user_id", "ts"))
+    e = t.dealt(t.load_table(spark, folder, "events").select("event_id", "user_id", "ts"), "event_id")
     n = F.col("event_id")
     text = (F.when(n % 7 == 0, F.concat(F.lit("EUR "), (38 + n % 3).cast("string"))).when(n % 7 == 1, "uk 8,5")
             .when(n % 7 == 2, "US: 9").when(n % 7 == 3, "ART 123456 7 8").when(n % 7 == 4, "NIKE Air")
@@ -123,7 +123,7 @@ def model_answers(spark, folder: str) -> DataFrame:
             .otherwise(F.when(n % 13 == 0, "no json at all").otherwise(doc)))
     multi = n % 10 < 3
     missing = F.when(n % 5 == 0, F.array().cast("array<string>")).when(n % 5 < 3, F.array(F.lit("size")))
-    return t.spread(t.load_table(spark, folder, "orders").select("o_orderkey")).select(
+    return t.dealt(t.load_table(spark, folder, "orders").select("o_orderkey"), "o_orderkey").select(
         n.alias("id"), text.alias("answer"), multi.alias("multi_flag"), missing.alias("missing"))
 
 

@@ -27,7 +27,7 @@ VIEWS = {
                CASE WHEN p_partkey % 5 = 1 THEN 'u' || (p_partkey % 4) END AS owner_session,
                p_partkey % 4 AS repost_count,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_partkey * 7919 % 7776000) AS last_seen,
-               p_partkey % 500 AS vec_id
+               p_partkey % (SELECT count(*) FROM embeddings) AS vec_id
         FROM part""",
     "v_listing_vec": """
         SELECT l.*, CAST(e.embedding AS DOUBLE[]) AS embedding
@@ -45,7 +45,7 @@ VIEWS = {
                CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 50 + 1 AS DECIMAL(4,1)) END AS size_min,
                CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 50 + 1 AS DECIMAL(4,1)) END AS size_max,
                CASE WHEN c_custkey % 6 <> 0 THEN 950 END AS max_price, CAST(0.2 AS DOUBLE) AS min_score,
-               c_custkey % 10 <> 9 AS active, c_custkey % 500 AS vec_id
+               c_custkey % 10 <> 9 AS active, c_custkey % (SELECT count(*) FROM embeddings) AS vec_id
         FROM customer""",
     "v_wishlist_vec": """
         SELECT w.*, CAST(e.embedding AS DOUBLE[]) AS query_vec

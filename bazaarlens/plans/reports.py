@@ -260,7 +260,7 @@ def segment_coverage(spark, folder):
     m = t.post_messages(spark, folder)
     msgs = m.withColumn("image_id", F.when((F.col("kind") == "image") & ~F.col("missing"), F.col("message_id")))
     line = seg.post_line(msgs)
-    runs = seg.number_segments(seg.run_table(seg.image_runs(msgs, line)), line.hot)
+    runs = seg.number_segments(seg.run_table(seg.image_runs(msgs, line)))
     joined = runs.join(seg.post_extra_text(msgs, line), "post_id", "left")
     read = attr.caption_attributes(attr.caption_attributes(joined, "segment_caption", "c"), "extra_text", "e")
     flags = attr.caption_fallback(read, "c", "e").select(

@@ -15,16 +15,10 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-SPREAD_BYTES = 128 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a table stored in fewer splits than there are cores is dealt out to them, at one
-    partition per 128 KiB at most. A table with splits enough, as any large one has, passes unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(cores, -(-size // SPREAD_BYTES))
-    return df if wanted <= 1 or df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """For work that is heavy per row: one exchange by a key, so that it does not depend on how a file is cut. Later
+    groupings that hold the key need no further one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -54,11 +48,17 @@ def post_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, folder: str, with_vector: bool = True) -> DataFrame:
-    """Listings from parts; the vector of a part is the embedding of its key modulo 500."""
+    """Listings from parts; every embedding is the vector of some of them, its id the part's key modulo their number."""
     out = as_listings(load_table(spark, folder, "part"))
-    if not with_vector:
-        return out
-    return out.join(load_table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return with_vectors(spark, folder, out, "listing_id", "embedding") if with_vector else out
+
+
+def with_vectors(spark: SparkSession, folder: str, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds `vec_id`, the key modulo the number of embeddings, and that embedding."""
+    vectors = load_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias(name))
+    number = vectors.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    placed = rows.join(F.broadcast(number)).withColumn("vec_id", F.col(key) % F.col("_n")).drop("_n")
+    return placed.join(vectors, "vec_id")
 
 
 def as_listings(parts: DataFrame) -> DataFrame:
@@ -80,8 +80,7 @@ def as_listings(parts: DataFrame) -> DataFrame:
         F.when(pid % 5 == 0, "demo_seed").when(pid % 5 == 1, "demo_upload").otherwise("chat_export").alias("source"),
         F.when(pid % 5 == 1, F.concat(F.lit("u"), (pid % 4).cast("string"))).alias("owner_session"),
         (pid % 4).alias("repost_count"),
-        F.timestamp_seconds(F.lit(1704067200) + pid * 7919 % 7776000).alias("last_seen"),
-        (pid % 500).alias("vec_id"))
+        F.timestamp_seconds(F.lit(1704067200) + pid * 7919 % 7776000).alias("last_seen"))
 
 
 def sightings(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,11 +106,8 @@ def wishlists(spark: SparkSession, folder: str, with_vector: bool = True) -> Dat
         F.when(cid % 3 != 0, F.concat(F.lit("Brand#"), (cid % 25 + 1).cast("string"))).alias("brand"),
         F.when(cid % 4 != 0, size).alias("size_min"), F.when(cid % 4 != 0, size).alias("size_max"),
         F.when(cid % 6 != 0, 950).alias("max_price"), F.lit(0.2).alias("min_score"),
-        (cid % 10 != 9).alias("active"), (cid % 500).alias("vec_id"))
-    if not with_vector:
-        return out
-    vectors = load_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("query_vec"))
-    return out.join(vectors, "vec_id")
+        (cid % 10 != 9).alias("active"))
+    return with_vectors(spark, folder, out, "wishlist_id", "query_vec") if with_vector else out
 
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +137,7 @@ def beats(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of the corpus: documents, page sources and conversation turns."""
-    d = spread(load_table(spark, folder, "documents").select("doc_id", "text")).select(
+    d = dealt(load_table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text"))
     p = load_table(spark, folder, "pages").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
@@ -179,7 +175,7 @@ def doc_images(spark: SparkSession, folder: str) -> DataFrame:
     and the same hash are already folded into the listing of the lowest id, as the resolver leaves them.
 
     The fingerprints are written once to the shared folder: callers read them many times, the texts only here."""
-    docs = spread(load_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    docs = dealt(load_table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
     hashed = cut_lineage(simhash(docs, ["doc_id", "source"], "text"))
     folded = hashed.groupBy("phash").agg(F.min("doc_id").alias("listing_id"))
     return hashed.join(folded, "phash").select(F.col("doc_id").alias("post_id"), "phash", "listing_id",
@@ -194,7 +190,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out:
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Photos with detections from the event stream: a user is a post, a day a segment, 0 to 4 boxes a photo."""
-    e = spread(load_table(spark, folder, "events").select("event_id", "user_id", "ts", "value"))
+    e = dealt(load_table(spark, folder, "events").select("event_id", "user_id", "ts", "value"), "event_id")
     eid = F.col("event_id")
 
     def det(i: Column) -> Column:

@@ -66,8 +66,7 @@ SEGMENTS = {  # captions in order, "-" none, "!" without media, T = text; expect
 }
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_segments(spark, hot):
+def test_segments(spark):
     rows = []
     for p, (text, _, _) in enumerate(SEGMENTS.values()):
         for seq, word in enumerate(text.split(",")):
@@ -76,7 +75,7 @@ def test_segments(spark, hot):
             photo = 100 + seq if kind == "image" and not word.endswith("!") else None
             rows.append((p, seq, kind, caption, photo))
     msgs = spark.createDataFrame(rows[::-1], "post_id long, seq long, kind string, caption string, image_id long")
-    line = chunked.Line(["post_id"], [F.col("seq")], F.floor(F.col("seq") / 2), hot)
+    line = chunked.Line(["post_id"], [F.col("seq")], F.floor(F.col("seq") / 2))
     got = {}
     for r in segments.segment_posts(msgs, line).orderBy("post_id", "seq").collect():
         per = got.setdefault(r.post_id, {})
@@ -87,12 +86,11 @@ def test_segments(spark, hot):
     assert extra == {p: e for p, (_, _, e) in enumerate(SEGMENTS.values()) if e}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_alerts(spark, hot):
+def test_alerts(spark):
     states = ["open", "logged_out", "logged_out", "open", "logged_out", "stopped:shutdown", "replaced", "logged_out"]
     rows = [("s", i, s.partition(":")[0], s.partition(":")[2] or None) for i, s in enumerate(states)]
     df = spark.createDataFrame(rows, "source string, i long, state string, detail string")
-    line = chunked.Line(["source"], [F.col("i")], F.floor(F.col("i") / 2), hot)
+    line = chunked.Line(["source"], [F.col("i")], F.floor(F.col("i") / 2))
     assert sorted(r.i for r in reports.state_alerts(df, line).collect()) == [1, 4, 6, 7]
 
 

@@ -34,8 +34,8 @@ def read(text, name):
 SCHEMA = "chat string, key string, sender string, ts_s double, place long, kind string, missing boolean, bytes long"
 
 
-def albums(df, rules=op.AlbumRules(), hot=False):
-    line = op.sender_line([F.col("place")], F.floor(F.col("place") / 3), hot)
+def albums(df, rules=op.AlbumRules(), chunk=3):
+    line = op.sender_line([F.col("place")], F.floor(F.col("place") / chunk))
     rows = op.group_albums(df, line, rules).select("chat", "sender", "album_key", "key", "place").collect()
     found = {}
     for r in sorted(rows, key=lambda r: r.place):
@@ -43,17 +43,17 @@ def albums(df, rules=op.AlbumRules(), hot=False):
     return {chat: ["".join(v) for (c, _, _), v in found.items() if c == chat] for chat in {r.chat for r in rows}}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_typed_albums(spark, hot):
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_typed_albums(spark, chunk):
     df = spark.createDataFrame([r for n, (text, _) in CASES.items() for r in read(text, n)], SCHEMA)
-    got = albums(df, hot=hot)
+    got = albums(df, chunk=chunk)
     assert {n: got.get(n, []) for n in CASES} == {n: want for n, (_, want) in CASES.items()}
 
 
 def test_size_caps(spark):
     burst = [("c", f"{i:02d}", "s", float(i), i, "image", False, 0) for i in range(31)]
     df = spark.createDataFrame(burst, SCHEMA)
-    line = op.sender_line([F.col("place")], F.floor(F.col("place") / 10), False)
+    line = op.sender_line([F.col("place")], F.floor(F.col("place") / 10))
     sizes = op.group_albums(df, line).groupBy("album_key").count().orderBy("album_key").collect()
     assert [s["count"] for s in sizes] == [30, 1]
     heavy = spark.createDataFrame([("c", k, "s", float(i), i, "image", False, 25 * MB) for i, k in enumerate("abc")], SCHEMA)
@@ -77,8 +77,8 @@ def naive(rows, rules):
     return {k: a["keys"][0] for a in out if a["n"] for k in a["keys"]}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_random_histories(spark, hot):
+@pytest.mark.parametrize("chunk", [50, 10 ** 6])
+def test_random_histories(spark, chunk):
     rng = random.Random(3)
     rows, at = [], 0.0
     for i in range(600):  # arrival order is not always time order
@@ -87,13 +87,12 @@ def test_random_histories(spark, hot):
                      rng.choice(["image", "image", "text"]), rng.randrange(30 * MB)))
     rules = op.AlbumRules(max_images=4)
     df = spark.createDataFrame([("c", k, s, ts, i, kind, False, b) for i, (k, s, ts, kind, b) in enumerate(rows)], SCHEMA)
-    line = op.sender_line([F.col("place")], F.floor(F.col("place") / 50), hot)
+    line = op.sender_line([F.col("place")], F.floor(F.col("place") / chunk))
     got = {r.key: r.album_key for r in op.group_albums(df, line, rules).select("key", "album_key").collect()}
     assert got == naive(rows, rules)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_sliding_quota(spark, hot):
+def test_sliding_quota(spark):
     rng = random.Random(5)
     times, at = [], 0
     for _ in range(500):
@@ -106,12 +105,12 @@ def test_sliding_quota(spark, hot):
         if len(held) < 5:
             held.append(x)
     df = spark.createDataFrame([("k", i, x * op.MICROS) for i, x in enumerate(times)], "key string, i long, at long")
-    line = Line(["key"], [F.col("at"), F.col("i")], F.floor(F.col("at") / (100 * op.MICROS)), hot)
+    line = Line(["key"], [F.col("at"), F.col("i")], F.floor(F.col("at") / (100 * op.MICROS)))
     got = op.sliding_quota(df, line, "at", limit=5, window_s=60).orderBy("i").collect()
     assert [(g.admitted, g.retry_after) for g in got] == want
 
 
-def test_hot_plan_equals_plain_plan(spark):
+def test_chunks_give_what_one_chunk_gives(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "a", None]), i, rng.choice([None, i * 3 % 7])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, i long, v long")
@@ -120,11 +119,6 @@ def test_hot_plan_equals_plain_plan(spark):
                    lambda d, n: chunked.previous(d, n, F.col("v"), "o"),
                    lambda d, n: chunked.previous(d, n, F.col("v"), "o", skip_nulls=True),
                    lambda d, n: chunked.previous(d, n.reversed(), F.col("v"), "o", skip_nulls=True)):
-        plain, hot = (sorted((r.i, r.o) for r in helper(df, Line(["k"], [F.col("i")], F.floor(F.col("i") / 11), h))
-                             .collect()) for h in (False, True))
+        plain, hot = (sorted((r.i, r.o) for r in helper(df, Line(["k"], [F.col("i")], F.floor(F.col("i") / h)))
+                             .collect()) for h in (10 ** 6, 11))
         assert plain == hot
-
-
-def test_hot_key_is_measured(spark):
-    df = spark.range(100).withColumn("k", F.lit(1))
-    assert chunked.has_hot_key(df, ["k"], 50) and not chunked.has_hot_key(df, ["k"], 100)
