@@ -230,7 +230,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = np.array(column(b, "lang").to_pylist(), object)
-            for at, texts in slices(column(b, "text"), 1 << 20):
+            for at, texts in slices(column(b, "text"), 1 << 18):
                 texts, names = texts.to_pylist(), langs[at: at + len(texts)]
                 for name in set(names):
                     s = symbols([t for t, x in zip(texts, names) if x == name], order)
@@ -272,7 +272,7 @@ def fit(labelled: DataFrame, key: Column, order: int = ORDER, sample_chars: int
         m = held()
         for b in batches:
             names = column(b, "lang").to_pylist()
-            for at, texts in slices(column(b, "text"), 1 << 20):
+            for at, texts in slices(column(b, "text"), 1 << 18):
                 s = symbols(texts.to_pylist(), m.order)
                 n = np.diff(s.bounds) - (m.order - 1)
                 logs = m.log_likelihoods(s)
@@ -307,7 +307,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             outs = ([], [], [], [])
-            for _, texts in slices(column(b, "text"), 1 << 20):
+            for _, texts in slices(column(b, "text"), 1 << 18):
                 for o, x in zip(outs, held().judge(texts.to_pylist())):
                     o.extend(x)
             new = [pa.array(o, k) for o, k in zip(outs, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]

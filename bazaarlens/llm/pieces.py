@@ -340,7 +340,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: list[str] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held()
         for b in batches:
-            for at, part in slices(column(b, "text"), 8 << 20):
+            for at, part in slices(column(b, "text"), 1 << 20):
                 texts = part.to_pylist()
                 ids, bounds = pieces.encode(texts)
                 back = pieces.decode(ids, bounds)

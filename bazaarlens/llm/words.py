@@ -73,7 +73,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]: bounds[-1]], bounds - bounds[0]
 
 
-def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Runs of whole texts of about `limit` bytes, so that working arrays stay small; a longer text is a run of its own."""
     if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type):
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
