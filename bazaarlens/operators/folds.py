@@ -1,8 +1,9 @@
-"""Ordered folds over keyed runs, for rules no window can express because a decision depends on earlier decisions.
+"""Ordered folds over keyed runs, for rules whose state no pointer can stand for.
 
 Rows are shuffled by run, sorted inside partitions by Spark (which spills), and streamed through a generator in Arrow
-batches. The fold keeps only its own small state, so a long run costs time but never memory, and the hot key of a
-table is spread over its many runs before it gets here.
+batches. The fold sees the columns it asks for and its answers are appended; all others pass as they are. It keeps only
+its own small state, so a long run costs time but never memory, and the hot key of a table is spread over its many runs
+before it gets here.
 """
 
 from __future__ import annotations
@@ -10,53 +11,32 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def fold_sorted(df: DataFrame, run: list[str], order: list[Column], make_step: Callable[[], Callable],
                 used: list[str], out: list[T.StructField]) -> DataFrame:
     """Append columns computed by a fold. `make_step()` starts a run and returns `step(row_values) -> out values`."""
     schema = T.StructType([*df.schema.fields, *out])
-    names = [f.name for f in out]
+    kinds = [to_arrow_type(f.dataType) for f in out]
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, step = object(), None
         for batch in batches:
-            keys = list(zip(*[batch[k] for k in run]))
-            values = zip(*[batch[c] for c in used])
+            keys = zip(*[batch.column(k).to_pylist() for k in run])
             answers = []
-            for key, row in zip(keys, values):
+            for key, row in zip(keys, zip(*[batch.column(c).to_pylist() for c in used])):
                 if key != current:
                     current, step = key, make_step()
                 answers.append(step(*row))
-            added = pd.DataFrame(answers, columns=names, index=batch.index)
-            yield pd.concat([batch, added], axis=1)
+            added = [pa.array([a[i] for a in answers], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *[f.name for f in out]])
 
     sorted_runs = df.repartition(*run).sortWithinPartitions(*run, *order)
-    return sorted_runs.mapInPandas(stream, schema)
-
-
-def album_step(idle: float, span: float, max_images: int, max_bytes: int) -> Callable[[], Callable]:
-    """Numbers the albums of a run. A message joins the open album while the gap, the span and, for a photo, the
-    count and byte caps allow it."""
-    def start():
-        state = {"no": 0, "first": None, "last": None, "images": 0, "bytes": 0}
-
-        def step(ts, kind, size):
-            photo = kind == "image"
-            fits = state["first"] is not None and ts - state["last"] <= idle and ts - state["first"] <= span
-            if fits and photo:
-                fits = state["images"] < max_images and state["bytes"] + size <= max_bytes
-            if not fits:
-                state.update(no=state["no"] + 1, first=ts, last=ts, images=0, bytes=0)
-            state["last"] = max(state["last"], ts)
-            state["images"] += photo
-            state["bytes"] += size if photo else 0
-            return (state["no"],)
-        return step
-    return start
+    return sorted_runs.mapInArrow(stream, schema)
 
 
 def quota_step(limit: int, width: int) -> Callable[[], Callable]:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.operators import chunked
+from bazaarlens.operators import chunked, jumps
 from bazaarlens.operators.chunked import Line
-from bazaarlens.operators.folds import album_step, fold_sorted, quota_step
+from bazaarlens.operators.folds import fold_sorted, quota_step
+from bazaarlens.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -45,23 +46,67 @@ def album_islands(msgs: DataFrame, line: Line, idle_s: float) -> DataFrame:
 
 
 def number_albums(msgs: DataFrame, line: Line, rules: AlbumRules = AlbumRules()) -> DataFrame:
-    """Adds `island` and `album`. An island that breaks no cap is one album, which the JVM decides from its totals;
-    only the others are folded message by message."""
+    """Adds `island` and `album`. An island that breaks no cap is one album, which its totals decide. In the others
+    every message is tried as the start of an album: the first later message that such an album could not take is the
+    next start (`jumps`), and the starts that the island's first message leads to are the real ones."""
     run = ["chat", "sender", "island"]
-    islands = album_islands(first_arrivals(msgs, line.order), line, rules.idle_s)
+    islands = cut_lineage(album_islands(first_arrivals(msgs, line.order), line, rules.idle_s))
     photo = F.col("kind") == "image"
-    whole_run = Window.partitionBy(*run)
-    first = F.first("ts_s").over(whole_run.orderBy(*line.order).rowsBetween(Window.unboundedPreceding, 0))
-    tagged = (islands.withColumn("_first", first)
-              .withColumn("_over", (F.max("ts_s").over(whole_run) - F.col("_first") > rules.span_s)
-                          | (F.count_if(photo).over(whole_run) > rules.max_images)
-                          | (F.sum(F.when(photo, F.col("bytes")).otherwise(0)).over(whole_run) > rules.max_bytes))
-              .drop("_first"))
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(line.order)])
+    totals = islands.groupBy(*run).agg(
+        (F.max("ts_s") - F.min_by("ts_s", place) > rules.span_s) | (F.count_if(photo) > rules.max_images)
+        | (F.sum(F.when(photo, F.col("bytes")).otherwise(0)) > rules.max_bytes)).toDF(*run, "_over")
+    tagged = _joined(islands, totals, run)
     whole = tagged.where(~F.col("_over")).drop("_over").withColumn("album", F.lit(1))
-    step = album_step(rules.idle_s, rules.span_s, rules.max_images, rules.max_bytes)
-    folded = fold_sorted(tagged.where("_over").drop("_over"), run, line.order, step, ["ts_s", "kind", "bytes"],
-                         [T.StructField("album", T.IntegerType())])
-    return whole.unionByName(folded.select(*whole.columns))
+    inner = Line(run, line.order, line.chunk)
+    over = cut_lineage(chunked.row_number(tagged.where("_over").drop("_over"), inner, "_pos").withColumn("_pos", F.col("_pos") - 1))
+    starts = _album_starts(over, inner, run, rules)
+    marked = _joined(over, starts.withColumn("_start", F.lit(1)), [*run, "_pos"])
+    numbered = chunked.running_sum(marked, inner, F.coalesce("_start", F.lit(0)), "album")
+    return whole.unionByName(numbered.withColumn("album", F.col("album").cast("int")).drop("_start", "_pos"))
+
+
+def _joined(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys that may be null."""
+    side = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in side.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(side, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def _album_starts(over: DataFrame, inner: Line, run: list[str], rules: AlbumRules) -> DataFrame:
+    """(run, _pos) of the messages that start an album."""
+    photo = F.col("kind") == "image"
+    size = F.when(photo, F.coalesce("bytes", F.lit(0))).otherwise(0)
+    named = chunked.running_sum(over, inner, photo.cast("long"), "_photos")
+    named = chunked.running_sum(named, inner, size, "_bytes")
+    named = chunked.previous(named, inner, F.col("ts_s"), "_last_ts").withColumn("run", F.struct(*run))
+    sizes = named.groupBy("run").agg(F.count(F.lit(1)).alias("_size"))
+    points = cut_lineage(named.join(sizes, "run").select(
+        "run", F.col("_pos").alias("pos"), "_size", "ts_s", "_last_ts", F.col("_photos").alias("photos"),
+        F.when(photo, F.col("_bytes")).alias("used"), (F.col("_photos") - photo.cast("long")).alias("photos_before"),
+        (F.col("_bytes") - size).alias("used_before")))
+    # the last message before this one from which it is no idle time away: mostly the one just before, else searched
+    # for, on the run turned round
+    late = points.where("pos > 0").where(F.col("ts_s") - F.col("_last_ts") > rules.idle_s)
+    near = F.col("pos") - 1
+    if late.limit(1).count():  # arrivals out of order
+        turned = lambda df: df.select("run", (F.col("_size") - 1 - F.col("pos")).alias("pos"), "ts_s", F.col("ts_s").alias("own_ts"))
+        far = jumps.first_beyond(turned(points), turned(late), ["run"],
+                                 [jumps.Limit("ts_s", "own_ts", -rules.idle_s, or_equal=True)])
+        far = far.join(sizes, "run").select("run", (F.col("_size") - 1 - F.col("pos")).alias("pos"), F.lit(True).alias("_far"),
+                                            (F.col("_size") - 1 - F.col("found")).alias("_near"))
+        points = points.join(far, ["run", "pos"], "left")
+        near = F.when(F.coalesce("_far", F.lit(False)), F.col("_near")).otherwise(near)
+    points = points.withColumn("no_nearer", F.coalesce(-near, F.lit(1))).withColumn("minus_pos", -F.col("pos"))
+    limits = [jumps.Limit("no_nearer", "minus_pos", 0), jumps.Limit("ts_s", "first_ts", rules.span_s),
+              jumps.Limit("photos", "photos_before", rules.max_images), jumps.Limit("used", "used_before", rules.max_bytes)]
+    tried = points.withColumn("first_ts", F.col("ts_s"))
+    pointers = jumps.first_beyond(points, tried.select("run", "pos", "minus_pos", "first_ts", "photos_before", "used_before"),
+                                  ["run"], limits)
+    found = jumps.reached(pointers.select("run", "pos", "found"), ["run"])
+    return found.select(*[F.col(f"run.{c}").alias(c) for c in run], F.col("pos").alias("_pos"))
 
 
 def album_table(numbered: DataFrame, order: list[Column]) -> DataFrame:

@@ -150,7 +150,7 @@ def duplicate_slugs(spark, folder):
 
 
 def beat_line():
-    return chunked.Line(["source"], [F.col("ts"), F.col("beat_id")], chunked.by_days(F.col("ts")))
+    return chunked.Line(["source"], [F.col("ts"), F.col("beat_id")], chunked.by_days(F.col("ts"), 30))
 
 
 @query("state_alerts", """

@@ -44,7 +44,7 @@ def timed_messages(spark, folder):
 
 
 def sender_line():
-    return op.sender_line([F.col(c) for c in ORDER], chunked.by_days(F.col("ts")))
+    return op.sender_line([F.col(c) for c in ORDER], chunked.by_days(F.col("ts"), 30))
 
 
 @query("album_islands", f"""

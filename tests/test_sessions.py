@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import chunked
+from bazaarlens.operators import chunked, jumps
 from bazaarlens.operators import sessions as op
 from bazaarlens.operators.chunked import Line
 
@@ -122,3 +122,40 @@ def test_chunks_give_what_one_chunk_gives(spark):
         plain, hot = (sorted((r.i, r.o) for r in helper(df, Line(["k"], [F.col("i")], F.floor(F.col("i") / h)))
                              .collect()) for h in (10 ** 6, 11))
         assert plain == hot
+
+
+def test_columns_pass_whole(spark):
+    """Large numbers next to nulls come out as they went in, and one long run is cut right."""
+    big = 2 ** 53 + 1
+    rows = [("c", f"{i:05d}", None, i * 0.5, i, "image", i % 9 == 0, 1, big if i % 2 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA + ", note long")
+    line = op.sender_line([F.col("place")], F.floor(F.col("place") / 100))
+    got = op.group_albums(df, line).orderBy("place").collect()
+    assert [(r.key, r.note) for r in got] == [(r[1], r[8]) for r in rows]
+    assert [int(r.album_key) for r in got] == [i // 30 * 30 for i in range(3000)]
+    hits = spark.createDataFrame([("k", i, i * op.MICROS, big if i % 2 else None) for i in range(200)],
+                                 "key string, i long, at long, note long")
+    judged = op.sliding_quota(hits, Line(["key"], [F.col("at")], F.floor(F.col("at") / 10 ** 8)), "at", limit=5, window_s=60)
+    assert [r.note for r in judged.orderBy("i").collect()] == [big if i % 2 else None for i in range(200)]
+
+
+def test_first_beyond_and_reached(spark):
+    rng = random.Random(8)
+    n = 9000  # three levels of the tree
+    v = [rng.choice([rng.randrange(50), i // 3, None]) for i in range(n)]
+    points = spark.createDataFrame([("r", i, x) for i, x in enumerate(v)] + [("s", 0, 5)], "run string, pos long, v long")
+    starts = points.select("run", "pos", F.col("pos").cast("long").alias("base"))
+    for most, or_equal in ((-2900, False), (5, True)):
+        got = {(r.run, r.pos): r.found for r in jumps.first_beyond(
+            points, starts, ["run"], [jumps.Limit("v", "base", most, or_equal)]).collect()}
+        assert len(got) == n + 1 and got["s", 0] is None
+        for i in [*range(0, n, 97), n - 1]:
+            passed = lambda j: v[j] is not None and (v[j] - i > most or (or_equal and v[j] - i == most))
+            assert got["r", i] == next((j for j in range(i + 1, n) if passed(j)), None)
+    hops = spark.createDataFrame([("r", i, i + 1 + i % 7 if i + 1 + i % 7 < n else None) for i in range(n)],
+                                 "run string, pos long, found long")
+    want, at = set(), 0
+    while at < n:
+        want.add(at)
+        at += 1 + at % 7
+    assert {r.pos for r in jumps.reached(hops, ["run"]).collect()} == want
