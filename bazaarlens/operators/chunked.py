@@ -65,14 +65,18 @@ class Backward(Line):
         return F.min_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)]))
 
 
-def _with_carry(df: DataFrame, carry: DataFrame, line: Line) -> DataFrame:
-    """Attach each chunk's carried value. Null keys must meet too, so the join is null-safe."""
-    cells = line.cells()
-    renamed = carry.select(*[F.col(k).alias(f"_c_{k}") for k in cells], *[c for c in carry.columns if c not in cells])
+def joined(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys that may be null."""
+    side = side.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *[c for c in side.columns if c not in keys])
     on = F.lit(True)
-    for k in cells:
+    for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    return df.join(renamed, on, "left").drop(*[f"_c_{k}" for k in cells])
+    return rows.join(side, on, "left").drop(*[f"_c_{k}" for k in keys])
+
+
+def _with_carry(df: DataFrame, carry: DataFrame, line: Line) -> DataFrame:
+    """Attach each chunk's carried value."""
+    return joined(df, carry, line.cells())
 
 
 def running_sum(df: DataFrame, line: Line, value: Column, out: str) -> DataFrame:

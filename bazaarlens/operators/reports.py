@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import captions
 from bazaarlens.functions.ids import stable_order_hash
 from bazaarlens.operators import chunked
 from bazaarlens.operators.chunked import Line
+from bazaarlens.session import cut_lineage
 from bazaarlens.sources.tables import first_rows
 
 # Billing, planning and status constants.
@@ -54,25 +55,23 @@ def attempt_number(calls: DataFrame, order: list[Column], stored: DataFrame | No
         "attempt", F.col("attempt") + F.coalesce("_prior", F.lit(0))).drop("_prior")
 
 
-def admit_day(calls: DataFrame, order: list[Column], used: DataFrame | None = None, *, day_cap: int = DAY_CAP,
-              segment_cap: int = SEGMENT_CAP) -> DataFrame:
+def admit_day(calls: DataFrame, order: list[Column], *, day_cap: int = DAY_CAP, segment_cap: int = SEGMENT_CAP
+              ) -> DataFrame:
     """Adds `decision` to calls asked for in order: admitted, DAY_CAP or POST_CAP. Exact while a segment's calls fall
-    on one day; `used` holds a segment's admitted billable calls from earlier days (post_id, segment_idx, used).
+    on one day; `admit_calls` takes any.
 
     A call that was not billed (an error) uses up neither cap. A call over its segment's cap uses no unit of the day, so
-    the segment cap is ranked first and the day counts the survivors. The day line is cut by the hour if it is hot."""
+    the segment cap is ranked first and the day counts the survivors. The day line is cut by the hour."""
     segment = ["post_id", "segment_idx"]
     billed = F.col("status").isin(*BILLABLE).cast("long")
     hour = F.floor(F.unix_seconds("ts") / 3600)
-    start = calls if used is None else calls.join(used, segment, "left")
-    prior = F.lit(0) if used is None else F.coalesce(F.col("used"), F.lit(0))
-    in_segment = chunked.running_sum(start, Line(segment, order, hour), billed, "_mine")
-    fits = (F.col("_mine") - billed + prior) < segment_cap
+    in_segment = chunked.running_sum(calls, Line(segment, order, hour), billed, "_mine")
+    fits = (F.col("_mine") - billed) < segment_cap
     counted = in_segment.withColumn("_unit", F.when(fits, billed).otherwise(0)).withColumn("_fits", fits)
     in_day = chunked.running_sum(counted, Line(["day"], order, hour), F.col("_unit"), "_spent")
     before = F.col("_spent") - F.col("_unit")
     decision = F.when(before >= day_cap, "DAY_CAP").when(~F.col("_fits"), "POST_CAP").otherwise("admitted")
-    return in_day.withColumn("decision", decision).drop("_mine", "_unit", "_fits", "_spent", "used")
+    return in_day.withColumn("decision", decision).drop("_mine", "_unit", "_fits", "_spent")
 
 
 def latest_ok_response(calls: DataFrame, order: list[Column]) -> DataFrame:
@@ -221,19 +220,39 @@ def eval_sample(listings: DataFrame, n: int, seed: int, sourced: tuple[str, ...]
         (F.col("stratum") == "size") | (F.col("place") <= F.lit(n) - F.col("_taken"))).drop("_taken")
 
 
-def admit_calls(spark: SparkSession, calls: DataFrame, order: list[Column], days: list, *, day_cap: int = DAY_CAP,
-                segment_cap: int = SEGMENT_CAP) -> DataFrame:
-    """Admission over several days when segments span them: a day at a time, as a daily job would run it, carrying each
-    segment's admitted calls in a checkpointed table."""
-    from bazaarlens.session import cut_lineage
-    used, done = None, None
-    for day in days:
-        judged = cut_lineage(admit_day(calls.where(F.col("day") == F.lit(day)), order, used, day_cap=day_cap,
-                                       segment_cap=segment_cap))
-        mine = judged.where((F.col("decision") == "admitted") & F.col("status").isin(*BILLABLE)).groupBy(
-            "post_id", "segment_idx").agg(F.count(F.lit(1)).alias("used"))
-        if used is not None:
-            mine = mine.unionByName(used).groupBy("post_id", "segment_idx").agg(F.sum("used").alias("used"))
-        used = cut_lineage(mine)
-        done = judged if done is None else done.unionByName(judged)
-    return done
+def admit_calls(calls: DataFrame, order: list[Column], *, day_cap: int = DAY_CAP, segment_cap: int = SEGMENT_CAP
+                ) -> DataFrame:
+    """Adds `decision` to calls asked for in order, where segments may span days.
+
+    A segment's counter saturates at its cap, so its days compose to sums: what it has used before a day is the number
+    of its billed calls that earlier days let through, up to the cap. A day lets calls through up to the one that finds
+    the day's cap spent. All days are judged at once for given day ends; new day ends come out, and a round more of days
+    is exact each time, so they are fixed after a few rounds, or after as many as there are days with a spent cap in a
+    row at most. Inside a round, segments and days are scanned in chunks of an hour."""
+    segment = ["post_id", "segment_idx"]
+    hour = F.floor(F.unix_seconds("ts") / 3600)
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    billed = calls.withColumn("_billed", F.col("status").isin(*BILLABLE).cast("long")).withColumn("_place", place)
+    mine = cut_lineage(chunked.running_sum(billed, Line([*segment, "day"], order, hour), F.col("_billed"), "_mine"))
+    ends = mine.select("day").distinct().withColumn("_end", F.lit(None).cast(mine.schema["_place"].dataType))
+    seen = None
+    while True:
+        through = chunked.joined(mine.select(*segment, "day", "_billed", "_place"), ends, ["day"]).where(
+            F.col("_end").isNull() | (F.col("_place") < F.col("_end")))
+        let = through.groupBy(*segment, "day").agg(F.sum("_billed").alias("_let"))
+        earlier = Window.partitionBy(*segment).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        used = mine.select(*segment, "day").distinct()
+        used = chunked.joined(used, let, [*segment, "day"]).withColumn("_used", F.coalesce(F.sum("_let").over(earlier), F.lit(0)))
+        judged = chunked.joined(mine, used.drop("_let"), [*segment, "day"]).withColumn(
+            "_fits", F.col("_used") + F.col("_mine") - F.col("_billed") < segment_cap)
+        judged = chunked.running_sum(judged, Line(["day"], order, hour), F.when(F.col("_fits"), F.col("_billed")).otherwise(0),
+                                     "_spent")
+        before = F.col("_spent") - F.when(F.col("_fits"), F.col("_billed")).otherwise(0)
+        judged = cut_lineage(judged.withColumn("decision", F.when(before >= day_cap, "DAY_CAP").when(
+            ~F.col("_fits"), "POST_CAP").otherwise("admitted")))
+        ends = cut_lineage(judged.groupBy("day").agg(
+            F.min(F.when(F.col("decision") == "DAY_CAP", F.col("_place"))).alias("_end")))
+        mark = tuple(ends.agg(F.count("_end"), F.sum(F.xxhash64("day", "_end").cast("decimal(38,0)"))).first())
+        if mark == seen:
+            return judged.select(*calls.columns, "decision")
+        seen = mark

@@ -56,25 +56,16 @@ def number_albums(msgs: DataFrame, line: Line, rules: AlbumRules = AlbumRules())
     totals = islands.groupBy(*run).agg(
         (F.max("ts_s") - F.min_by("ts_s", place) > rules.span_s) | (F.count_if(photo) > rules.max_images)
         | (F.sum(F.when(photo, F.col("bytes")).otherwise(0)) > rules.max_bytes)).toDF(*run, "_over")
-    tagged = _joined(islands, totals, run)
+    tagged = chunked.joined(islands, totals, run)
     whole = tagged.where(~F.col("_over")).drop("_over").withColumn("album", F.lit(1))
     inner = Line(run, line.order, line.chunk)
     over = cut_lineage(chunked.row_number(tagged.where("_over").drop("_over"), inner, "_pos").withColumn("_pos", F.col("_pos") - 1))
     starts = _album_starts(over, inner, run, rules)
-    marked = _joined(over, starts.withColumn("_start", F.lit(1)), [*run, "_pos"])
+    marked = chunked.joined(over, starts.withColumn("_start", F.lit(1)), [*run, "_pos"])
     numbered = chunked.running_sum(marked, inner, F.coalesce("_start", F.lit(0)), "album")
     return whole.unionByName(numbered.withColumn("album", F.col("album").cast("int")).drop("_start", "_pos"))
 
 
-def _joined(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
-    """A left join on keys that may be null."""
-    side = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in side.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(side, on, "left").drop(*[f"_k_{k}" for k in keys])
-
-
 def _album_starts(over: DataFrame, inner: Line, run: list[str], rules: AlbumRules) -> DataFrame:
     """(run, _pos) of the messages that start an album."""
     photo = F.col("kind") == "image"

@@ -70,6 +70,32 @@ def admit_calls(spark, folder):
     return judged.select("call_id", "decision")
 
 
+LONG_DAY_CAP, LONG_SEGMENT_CAP = 150, 40
+
+
+@query("admit_calls_over_days", f"""
+    WITH RECURSIVE c AS MATERIALIZED (
+      SELECT call_id, day, status <> 'http_error' AS billed, dense_rank() OVER (ORDER BY post_id) AS seg,
+             row_number() OVER (ORDER BY ts, call_id) AS rn FROM v_calls),
+    step AS (
+      SELECT 0::BIGINT AS rn, NULL::BIGINT AS call_id, NULL::DATE AS day, 0 AS spent, NULL::VARCHAR AS decision,
+             list_transform(range((SELECT max(seg) FROM c)), lambda x: 0) AS used
+      UNION ALL
+      SELECT c.rn, c.call_id, c.day, f.before + CASE WHEN f.d = 'admitted' AND c.billed THEN 1 ELSE 0 END, f.d,
+             CASE WHEN f.d = 'admitted' AND c.billed
+                  THEN s.used[:c.seg - 1] || [s.used[c.seg] + 1] || s.used[c.seg + 1:] ELSE s.used END
+      FROM step s JOIN c ON c.rn = s.rn + 1,
+           LATERAL (SELECT CASE WHEN s.day IS NOT DISTINCT FROM c.day THEN s.spent ELSE 0 END AS before) g,
+           LATERAL (SELECT g.before, CASE WHEN g.before >= {LONG_DAY_CAP} THEN 'DAY_CAP'
+                                WHEN s.used[c.seg] >= {LONG_SEGMENT_CAP} THEN 'POST_CAP' ELSE 'admitted' END AS d) f)
+    SELECT call_id, decision FROM step WHERE rn > 0""", ("v_calls",))
+def admit_calls_over_days(spark, folder):
+    """A user's calls are one segment, so segments span days, and day caps and segment caps push each other."""
+    calls = t.calls(spark, folder).withColumn("segment_idx", F.lit(0))
+    judged = op.admit_calls(calls, _order(), day_cap=LONG_DAY_CAP, segment_cap=LONG_SEGMENT_CAP)
+    return judged.select("call_id", "decision")
+
+
 @query("latest_ok_response", """
     SELECT post_id, segment_idx, prompt_version, last(call_id ORDER BY ts, call_id) AS call_id,
            last(props ORDER BY ts, call_id) AS response

@@ -1,6 +1,7 @@
 """Row rules, keys, segments, status alerts, chat files and stores on typed cases."""
 
 import datetime as dt
+import random
 import hashlib
 import hmac
 
@@ -99,13 +100,31 @@ def test_admission_over_days(spark):
     rows = [(i, 1, 0, at + dt.timedelta(hours=5 * i), "ok" if i != 2 else "http_error") for i in range(8)]
     df = spark.createDataFrame(rows, "call_id long, post_id long, segment_idx int, ts timestamp, status string").withColumn(
         "day", F.to_date("ts"))
-    days = [d.day for d in df.select("day").distinct().orderBy("day").collect()]
-    got = reports.admit_calls(spark, df, [F.col("ts")], days, day_cap=2, segment_cap=4).orderBy("call_id").collect()
+    got = reports.admit_calls(df, [F.col("ts")], day_cap=2, segment_cap=4).orderBy("call_id").collect()
     # day 1: two units, the error is free but asked after the cap; day 2: two more units, then the segment is used up
     assert [g.decision for g in got] == ["admitted", "admitted", "DAY_CAP", "admitted", "admitted", "DAY_CAP", "DAY_CAP",
                                          "DAY_CAP"]
 
 
+@pytest.mark.parametrize("day_cap, segment_cap", [(6, 9), (100, 5), (3, 100), (0, 4)])
+def test_admission_against_one_by_one(spark, day_cap, segment_cap):
+    rng, at, rows = random.Random(day_cap), dt.datetime(2024, 1, 1), []
+    for i in range(400):
+        at += dt.timedelta(minutes=rng.choice([0, 40, 200]))
+        rows.append((i, rng.choice([1, 1, 1, 2, 3, None]), 0, at, rng.choice(["ok", "ok", "timeout", "http_error"])))
+    df = spark.createDataFrame(rows, "call_id long, post_id long, segment_idx int, ts timestamp, status string").withColumn(
+        "day", F.to_date("ts"))
+    want, spent, used = [], {}, {}
+    for _, post, _, ts, status in rows:
+        day, billed = ts.date(), status != "http_error"
+        verdict = ("DAY_CAP" if spent.get(day, 0) >= day_cap else "POST_CAP" if used.get(post, 0) >= segment_cap else "admitted")
+        if verdict == "admitted" and billed:
+            spent[day], used[post] = spent.get(day, 0) + 1, used.get(post, 0) + 1
+        want.append(verdict)
+    got = reports.admit_calls(df, [F.col("ts"), F.col("call_id")], day_cap=day_cap, segment_cap=segment_cap)
+    assert [r.decision for r in got.orderBy("call_id").collect()] == want
+
+
 CHAT = ("﻿14/03/24, 13:00 - Messages are encrypted.\nstill the notice\n14/03/24, 13:00 - One: IMG-1.jpg (file "
         "attached)\r\nNike AF1 size 42 Rs 4500\n14/03/24, 13:00 - One: same\n14/03/24, 13:00 - One: same\n"
         "14/03/24, 13:01 - +92 300 1234567: hello <This message was edited>\n"
