@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 
 from bazaarlens.operators import matching, reposts
 from bazaarlens.session import cut_lineage, fresh_path
+from bazaarlens.streaming import albums
+
+
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def message_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType, files_per_trigger: int = 64
@@ -31,6 +35,26 @@ def run_to_end(spark: SparkSession, stream: DataFrame, name: str, partition_by:
     return out
 
 
+def run_albums(spark: SparkSession, messages: DataFrame, shards: int, name: str = "albums", **options) -> str:
+    """Process all messages, then shut down: markers flush every shard in a second run from the same checkpoint.
+    Returns the path of a table with the partitions record=album and record=late."""
+    out, state, control = (fresh_path(spark, name + x) for x in ("", "-state", "-control"))
+    albums.flush_markers(spark, shards).limit(0).write.parquet(control)
+    rows = messages.unionByName(spark.readStream.schema(albums.MARKERS).parquet(control))
+    stream = albums.stream_albums(rows, shards=shards, **options)
+    idle_batches = spark.conf.get(NO_DATA)
+    for _ in range(2):
+        spark.conf.set(NO_DATA, "false")  # timers by the clock ask for batches for ever; a replay ends with its data
+        try:
+            query = (stream.writeStream.format("parquet").outputMode("append").option("path", out).partitionBy("record")
+                     .option("checkpointLocation", state).trigger(availableNow=True).start())
+        finally:
+            spark.conf.set(NO_DATA, idle_batches)
+        query.awaitTermination()
+        albums.flush_markers(spark, shards).write.mode("append").parquet(control)
+    return out
+
+
 def run_batches(spark: SparkSession, stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str) -> None:
     (stream.writeStream.foreachBatch(handle).option("checkpointLocation", fresh_path(spark, name + "-state"))
      .trigger(availableNow=True).start().awaitTermination())
