@@ -45,16 +45,22 @@ def _listing_cells(listings: DataFrame) -> DataFrame:
             .withColumn("size_cell", F.explode(F.array(size, F.lit(ANY)))))
 
 
-def match_wishlists(wishlists: DataFrame, listings: DataFrame) -> DataFrame:
+def wishlist_rows(wishlists: DataFrame) -> DataFrame:
+    """Active wishlists in the cells they look into, as `match_wishlists` reads them."""
+    return _wishlist_cells(wishlists.where("active")).select(
+        "brand_cell", "size_cell", "wishlist_id", "owner", F.col("size_min").cast("double").alias("size_min"),
+        F.col("size_max").cast("double").alias("size_max"), F.col("max_price").cast("double").alias("max_price"),
+        "min_score", "query_vec")
+
+
+def match_wishlists(wishlists: DataFrame, listings: DataFrame, placed: bool = False) -> DataFrame:
     """All (wishlist_id, listing_id, score) that pass the wishlist's filters, visibility and score gate.
 
     A wishlist and a listing meet in exactly one (brand, size) cell, so the filters become an equi-join; within a cell
     bounded blocks are scored as matrices and only matches leave. Nothing is broadcast, and a cell that holds a third
-    of all listings becomes many blocks. Expects the columns of the wishlist and listing views."""
-    w = _wishlist_cells(wishlists.where("active")).select(
-        "brand_cell", "size_cell", "wishlist_id", "owner", F.col("size_min").cast("double").alias("size_min"),
-        F.col("size_max").cast("double").alias("size_max"), F.col("max_price").cast("double").alias("max_price"),
-        "min_score", "query_vec")
+    of all listings becomes many blocks. Expects the columns of the wishlist and listing views; `placed` wishlists are
+    rows of `wishlist_rows`."""
+    w = wishlists if placed else wishlist_rows(wishlists)
     rows = _listing_cells(listings.where(F.col("status") == "active")).select(
         "brand_cell", "size_cell", "listing_id", F.col("size_eu").cast("double").alias("size_eu"),
         F.when(F.col("size_source") == "vlm", float(screening.SIZE_SLACK)).otherwise(0.0).alias("slack"),

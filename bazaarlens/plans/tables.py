@@ -12,6 +12,7 @@ from bazaarlens.plans.registry import query
 from bazaarlens.session import fresh_path
 from bazaarlens.sources import files, sinks
 from bazaarlens.sources import tables as t
+from bazaarlens.sources.store import BucketTable
 
 NOW = "2024-03-01 00:00:00"
 
@@ -280,6 +281,7 @@ def stale_album_filter(spark, folder):
     return judged.select("sender", "reject_reason")
 
 
+UPSERT_EXTRA = {"seen_at": F.lit(None).cast("timestamp"), "suppkey": F.lit(None).cast("long")}
 UPSERT_ORDER = ("seen_at", "price", "suppkey")
 
 
@@ -292,9 +294,11 @@ UPSERT_ORDER = ("seen_at", "price", "suppkey")
               WHERE listing_id NOT IN (SELECT listing_id FROM newest)""", ("v_listing", "v_sighting"))
 def upsert_sink(spark, folder):
     stored = t.listings(spark, folder, with_vector=False).select("listing_id", F.col("price").cast("double"))
+    table = BucketTable.new(spark, "listings", stored.withColumns(UPSERT_EXTRA).schema, ["listing_id"])
+    table.append(stored.withColumns(UPSERT_EXTRA))
     new = t.sightings(spark, folder).select("listing_id", "price", "seen_at", "suppkey")
-    merged = sinks.upsert_sink(spark, stored, new, ["listing_id"], [F.col(c) for c in UPSERT_ORDER], "listings")
-    return merged.select("listing_id", "price")
+    table.upsert(new, ["listing_id"], [F.col(c) for c in UPSERT_ORDER])
+    return table.read().select("listing_id", "price")
 
 
 @query("insert_ignore_sink", """

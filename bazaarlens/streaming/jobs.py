@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.operators import matching, reposts
+from bazaarlens.functions.ids import hamming64
+from bazaarlens.operators import cells, chunked, hashes, matching, reposts
 from bazaarlens.session import cut_lineage, fresh_path
+from bazaarlens.sources.store import BucketTable
 from bazaarlens.streaming import albums
 
 
@@ -72,67 +74,144 @@ def mark_late(messages: DataFrame, now, max_backlog: str) -> DataFrame:
     return messages.withColumn("verdict", F.when(late, "too_old").otherwise("kept"))
 
 
-def match_batch(wishlists: DataFrame, stored_path: str) -> Callable[[DataFrame, int], None]:
+def match_batch(wishlists: DataFrame, ledger: BucketTable) -> Callable[[DataFrame, int], None]:
     """Match each batch of new or changed listings; a pair that is stored stays as it is, so a replayed batch or a
-    changed price adds nothing twice."""
+    changed price adds nothing twice. Wishlists are placed in their cells once; a batch reads and rewrites only the
+    ledger buckets of its listings."""
+    placed = cut_lineage(matching.wishlist_rows(wishlists))
+
     def handle(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        found = matching.match_wishlists(wishlists, batch)
-        matching.new_matches_only(found, spark.read.schema(MATCHES).parquet(stored_path)).select(
-            *[f.name for f in MATCHES]).write.mode("append").parquet(stored_path)
+        found = cut_lineage(matching.match_wishlists(placed, batch, placed=True))
+        known = ledger.read(ledger.touched(found))
+        ledger.append(cut_lineage(matching.new_matches_only(found, known)))
     return handle
 
 
-MATCHES = T.StructType([T.StructField("wishlist_id", T.LongType()), T.StructField("listing_id", T.LongType()),
-                        T.StructField("score", T.DoubleType())])
-KNOWN = ("phash", "listing_id", "post_id", "segment_idx", "seller", "owner", "last_seen")
+MATCHES = T._parse_datatype_string("wishlist_id long, listing_id long, score double")
+LISTINGS = T._parse_datatype_string("listing_id long, seller string, owner string, last_seen timestamp, embedding array<double>")
+PHOTOS = T._parse_datatype_string("phash long, listing_id long, post_id long, choice int, band long")
+
+
+class RepostState:
+    """What live resolution knows: a listing's seller, owner, vector and the time it was last seen, and the photos of all
+    its sightings, filed by the bands of their hashes."""
+
+    def __init__(self, spark: SparkSession, distance: int = reposts.MAX_DISTANCE):
+        self.distance = distance
+        self.listings = BucketTable.new(spark, "listings", LISTINGS, ["listing_id"])
+        self.photos = BucketTable.new(spark, "photos", PHOTOS, ["choice", "band"])
+        self.sightings = BucketTable.new(spark, "sightings", T._parse_datatype_string(
+            "post_id long, segment_idx int, listing_id long, kind string, seen_at timestamp"), ["post_id"])
+
 
+def near_known(new: DataFrame, state: RepostState) -> DataFrame:
+    """(post_id, segment_idx, seq, listing_id, distance) of a batch's photos and the stored listings with a near one.
+    Only the buckets that the batch's bands fall into are read."""
+    banded = cut_lineage(hashes.banded(new.select("post_id", "segment_idx", "seq", F.col("phash").alias("a")), "a", state.distance))
+    stored = state.photos.read(state.photos.touched(banded)).select(
+        "choice", "band", F.col("phash").alias("b"), "listing_id", F.col("post_id").alias("other"))
+    near = hamming64(F.col("a"), F.col("b"))
+    met = banded.join(stored, ["choice", "band"]).where((near <= state.distance) & (F.col("other") != F.col("post_id")))
+    return met.groupBy("post_id", "segment_idx", "seq", "listing_id").agg(F.min(near).alias("distance"))
 
-def resolve_batch(new: DataFrame, known: DataFrame, max_rounds: int = 100, **rules) -> DataFrame:
-    """(post_id, segment_idx, listing_id) for a batch, as if its posts were taken one by one after `known`, in post
-    order: a repost's photos extend its listing's fingerprint set for the posts after it.
 
-    `new`: a row per photo with post_id, segment_idx, phash, seller, owner, ref_time. Every round resolves all posts
-    against earlier ones under the labels of the round before; a post's label is final once those it rests on are, so
-    the rounds follow the longest chain of reposts. Rounds are cut by checkpoints. A batch is taken to span far less
-    than the repost window."""
+def resolve_batch(new: DataFrame, state: RepostState, *, max_distance: int = reposts.MAX_DISTANCE,
+                  cross_distance: int = reposts.CROSS_DISTANCE, window_days: int = reposts.WINDOW_DAYS,
+                  min_cosine: float = reposts.MIN_COSINE) -> DataFrame:
+    """(post_id, segment_idx, listing_id, kind) for a batch, as if its posts were taken one by one after what is stored,
+    in post order: by hash, else by vector, else a new listing whose id is the post's.
+
+    `new`: a row per photo with post_id, segment_idx, seq, phash, seller, owner, ref_time, embedding (the segment's).
+    A repost's photos join its listing, and its time moves the listing's last_seen for the posts after it. Everything
+    near anything is found once, stored side and batch; then every round judges all posts under the labels of the
+    round before. A post's label is final once those it rests on are, so the rounds follow the longest chain of reposts
+    that rest on each other, and end when nothing changes."""
     segment = ["post_id", "segment_idx"]
-    labels = cut_lineage(new.select(*segment).distinct().withColumn("listing_id", F.col("post_id")))
-    for _ in range(max_rounds):
-        here = new.join(labels, segment).withColumn("last_seen", F.col("ref_time"))
-        pool = known.select(*KNOWN).unionByName(here.select(*KNOWN))
-        hits = reposts.repost_by_hash(new, pool, earlier_only=True, **rules)
-        fresh = labels.select(*segment).join(hits.select(*segment, "listing_id"), segment, "left").withColumn(
-            "listing_id", F.coalesce("listing_id", "post_id"))
+    window = F.make_dt_interval(F.lit(window_days))
+    posts = cut_lineage(new.groupBy(*segment).agg(
+        F.min("seller").alias("seller"), F.min("owner").alias("owner"), F.max("ref_time").alias("ref_time"),
+        F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("total")))
+    photos = new.select(*segment, "seq", "phash")
+    other = photos.select(F.col("phash").alias("b"), F.col("post_id").alias("o_post"), F.col("segment_idx").alias("o_segment"))
+    here = (photos.join(hashes.hash_pairs(photos, photos, state.distance), F.col("phash") == F.col("a"))
+            .join(other, "b").where(F.col("o_post") < F.col("post_id"))
+            .groupBy(*segment, "seq", "o_post", "o_segment").agg(F.min("distance").alias("distance")))
+    here, stored = cut_lineage(here), cut_lineage(near_known(new, state))
+    ids = stored.select("listing_id").distinct()
+    vectors = posts.where("embedding is not null").select(*segment, "seller", "embedding")
+    reach = cells.reach_of(min_cosine)
+    like = cut_lineage(reposts.alike(vectors, vectors.select(
+        F.col("post_id").alias("o_post"), F.col("segment_idx").alias("o_segment"), "seller", "embedding"), reach, min_cosine)
+        .where(F.col("o_post") < F.col("post_id")))
+    known = state.listings.read().join(posts.select("seller").distinct(), "seller", "left_semi")
+    like_known = cut_lineage(reposts.alike(vectors, known.where("embedding is not null").select(
+        F.col("listing_id").alias("o_post"), F.lit(-1).alias("o_segment"), "seller", "embedding"), reach, min_cosine)
+        .where(F.col("o_post") != F.col("post_id")))
+    base = state.listings.read().select("listing_id", F.col("seller").alias("l_seller"), F.col("owner").alias("l_owner"),
+                                        F.col("last_seen").alias("l_seen"))
+    wanted = ids.unionByName(like_known.select(F.col("o_post").alias("listing_id"))).distinct()
+    base = cut_lineage(base.join(wanted, "listing_id", "left_semi"))
+    labels = cut_lineage(posts.select(*segment, F.col("post_id").alias("listing_id"), F.lit("new").alias("kind")))
+    while True:
+        # what the listings are, heads of the batch included, and when they were seen by which post
+        heads = labels.where("kind = 'new'").join(posts, segment).select(
+            "listing_id", F.col("seller").alias("l_seller"), F.col("owner").alias("l_owner"), F.lit(None).cast("timestamp").alias("l_seen"))
+        listed = base.unionByName(heads.dropDuplicates(["listing_id"]))
+        labelled = labels.select(F.col("post_id").alias("o_post"), F.col("segment_idx").alias("o_segment"), "listing_id")
+        hits = here.join(labelled, ["o_post", "o_segment"]).select(*segment, "seq", "listing_id", "distance").unionByName(
+            stored.select(*segment, "seq", "listing_id", "distance"))
+        close = like.join(labels.where("kind = 'new'").select(F.col("post_id").alias("o_post"), F.col("segment_idx").alias("o_segment"),
+                                                              "listing_id"), ["o_post", "o_segment"]).select(
+            *segment, "listing_id", "cos").unionByName(like_known.select(*segment, F.col("o_post").alias("listing_id"), "cos"))
+        pairs = hits.select(*segment, "listing_id").unionByName(close.select(*segment, "listing_id")).distinct()
+        # the listing's last_seen just before the post: stored, and the highest time of its sightings by earlier posts
+        seen = labels.join(posts.select(*segment, "ref_time"), segment).select("listing_id", "post_id", "segment_idx", F.col("ref_time").alias("_t"))
+        asked = pairs.select("listing_id", *segment, F.lit(None).cast("timestamp").alias("_t"), F.lit(True).alias("_asks"))
+        timeline = seen.withColumn("_asks", F.lit(False)).unionByName(asked)
+        line = chunked.Line(["listing_id"], [F.col("post_id"), F.col("_asks").cast("int").desc(), F.col("segment_idx")],
+                            chunked.by_rows(F.col("post_id")))
+        before = chunked.prefix_max(timeline, line, F.col("_t"), "_before").where("_asks").select("listing_id", *segment, "_before")
+        allowed = pairs.join(before, ["listing_id", *segment]).join(listed, "listing_id").join(
+            posts.select(*segment, "seller", "owner", "ref_time", "total"), segment)
+        allowed = cut_lineage(allowed.where(F.greatest("l_seen", "_before") > F.col("ref_time") - window))
+        by_hash = hits.join(allowed, [*segment, "listing_id"]).where(
+            F.col("owner").eqNullSafe(F.col("l_owner"))
+            & (F.col("distance") <= F.when(F.col("l_seller") == F.col("seller"), F.lit(max_distance)).otherwise(F.lit(cross_distance))))
+        matched = by_hash.groupBy(*segment, "listing_id").agg(F.count_distinct("seq").alias("matched"), F.first("total").alias("total"))
+        best = matched.groupBy(*segment).agg(F.max(F.struct("matched", (-F.col("listing_id")).alias("neg"), "total")).alias("b"))
+        best = best.where(F.col("b.matched") >= F.ceil(F.col("b.total") / 2)).select(*segment, (-F.col("b.neg")).alias("_hash"))
+        near = close.join(allowed.select(*segment, "listing_id", "l_seller", "seller"), [*segment, "listing_id"]).where(
+            F.col("l_seller") == F.col("seller")).groupBy(*segment).agg(
+            F.max(F.struct("cos", (-F.col("listing_id")).alias("neg"))).alias("c")).select(*segment, (-F.col("c.neg")).alias("_near"))
+        fresh = posts.select(*segment).join(best, segment, "left").join(near, segment, "left").select(
+            *segment, F.coalesce("_hash", "_near", "post_id").alias("listing_id"),
+            F.when(F.col("_hash").isNotNull(), "phash").when(F.col("_near").isNotNull(), "embedding").otherwise("new").alias("kind"))
         fresh = cut_lineage(fresh)
-        changed = fresh.join(labels.withColumnRenamed("listing_id", "_old"), segment).where(
-            F.col("listing_id") != F.col("_old")).limit(1).count()
+        old = labels.select(*segment, F.col("listing_id").alias("_old"), F.col("kind").alias("_old_kind"))
+        changed = fresh.join(old, segment).where("listing_id != _old or kind != _old_kind").limit(1).count()
         labels = fresh
         if not changed:
             return labels
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def repost_batch(state_path: str, photos: Callable[[DataFrame], DataFrame], **rules) -> Callable[[DataFrame, int], None]:
-    """Resolve each batch against everything stored, then store its photos under their listings. A replayed batch finds
-    its own posts stored and adds nothing."""
+def repost_batch(state: RepostState, photos: Callable[[DataFrame], DataFrame], **rules) -> Callable[[DataFrame, int], None]:
+    """Resolve each batch against everything stored, then store its sightings, photos and listings. A replayed batch
+    finds its own posts among the sightings and adds nothing."""
     def handle(batch: DataFrame, _: int) -> None:
-        known = batch.sparkSession.read.schema(STATE).parquet(state_path)
-        new = photos(batch).join(known.select("post_id").distinct(), "post_id", "left_anti")
-        new = cut_lineage(new)
-        labelled = new.join(resolve_batch(new, known, **rules), ["post_id", "segment_idx"])
-        labelled.withColumn("last_seen", F.col("ref_time")).select(*KNOWN).write.mode("append").parquet(state_path)
+        arrived = cut_lineage(photos(batch))
+        done = state.sightings.read(state.sightings.touched(arrived)).select("post_id").distinct()
+        new = cut_lineage(arrived.join(done, "post_id", "left_anti"))
+        labels = cut_lineage(resolve_batch(new, state, **rules))
+        facts = cut_lineage(new.join(labels, ["post_id", "segment_idx"]))
+        state.photos.append(cut_lineage(hashes.banded(facts.select("post_id", "listing_id", "phash"), "phash", state.distance)))
+        seen = facts.groupBy("listing_id").agg(
+            F.max("ref_time").alias("_at"),
+            *[F.min_by(c, F.when(F.col("kind") == "new", F.struct("post_id", "segment_idx"))).alias(f"_{c}")
+              for c in ("seller", "owner", "embedding")])
+        old = state.listings.read(state.listings.touched(seen))
+        merged = seen.join(old, "listing_id", "left").select(
+            "listing_id", F.coalesce("seller", "_seller").alias("seller"), F.coalesce("owner", "_owner").alias("owner"),
+            F.greatest("last_seen", "_at").alias("last_seen"), F.coalesce("embedding", "_embedding").alias("embedding"))
+        state.listings.upsert(cut_lineage(merged), ["listing_id"], [F.col("last_seen")])
+        state.sightings.append(facts.groupBy("post_id", "segment_idx", "listing_id", "kind").agg(F.max("ref_time").alias("seen_at")))
     return handle
-
-
-STATE = T.StructType([
-    T.StructField("phash", T.LongType()), T.StructField("listing_id", T.LongType()),
-    T.StructField("post_id", T.LongType()), T.StructField("segment_idx", T.IntegerType()),
-    T.StructField("seller", T.StringType()), T.StructField("owner", T.StringType()),
-    T.StructField("last_seen", T.TimestampType())])
-
-
-def empty_table(spark: SparkSession, schema: T.StructType, name: str) -> str:
-    path = fresh_path(spark, name)
-    spark.createDataFrame([], schema).write.parquet(path)
-    return path
