@@ -87,9 +87,10 @@ def match_batch(wishlists: DataFrame, ledger: BucketTable) -> Callable[[DataFram
     return handle
 
 
-MATCHES = T._parse_datatype_string("wishlist_id long, listing_id long, score double")
-LISTINGS = T._parse_datatype_string("listing_id long, seller string, owner string, last_seen timestamp, embedding array<double>")
-PHOTOS = T._parse_datatype_string("phash long, listing_id long, post_id long, choice int, band long")
+MATCHES = "wishlist_id long, listing_id long, score double"
+LISTINGS = "listing_id long, seller string, owner string, last_seen timestamp, embedding array<double>"
+PHOTOS = "phash long, listing_id long, post_id long, choice int, band long"
+SIGHTINGS = "post_id long, segment_idx int, listing_id long, kind string, seen_at timestamp"
 
 
 class RepostState:
@@ -100,8 +101,7 @@ class RepostState:
         self.distance = distance
         self.listings = BucketTable.new(spark, "listings", LISTINGS, ["listing_id"])
         self.photos = BucketTable.new(spark, "photos", PHOTOS, ["choice", "band"])
-        self.sightings = BucketTable.new(spark, "sightings", T._parse_datatype_string(
-            "post_id long, segment_idx int, listing_id long, kind string, seen_at timestamp"), ["post_id"])
+        self.sightings = BucketTable.new(spark, "sightings", SIGHTINGS, ["post_id"])
 
 
 def near_known(new: DataFrame, state: RepostState) -> DataFrame:

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import blocks, hashes, matching, reposts
-from bazaarlens.streaming.jobs import resolve_batch
 
 DAY0 = dt.datetime(2024, 1, 1)
 
@@ -167,22 +166,6 @@ def test_components(spark):
     assert all(find(n) == r for n, r in got.items())
 
 
-def test_resolve_in_order(spark):
-    """A batch resolves as if its posts came one by one, also when state is there already."""
-    values = near_hashes(random.Random(8), 60, 3)
-    labels = []
-    for i, h in enumerate(values):
-        labels.append(min([labels[j] for j in range(i) if distance(values[j], h) <= 2], default=i))
-    rows = [(i, 0, h, "s", None, DAY0) for i, h in enumerate(values)]
-    empty = spark.createDataFrame([], KNOWN + ", segment_idx int")
-    got = {r.post_id: r.listing_id for r in resolve_batch(spark.createDataFrame(rows, PHOTO), empty).collect()}
-    assert got == dict(enumerate(labels))
-    known = spark.createDataFrame([(h, labels[i], i, "s", None, DAY0, 0) for i, h in enumerate(values[:30])],
-                                  KNOWN + ", segment_idx int")
-    late = {r.post_id: r.listing_id for r in resolve_batch(spark.createDataFrame(rows[30:], PHOTO), known).collect()}
-    assert late == {i: labels[i] for i in range(30, 60)}
-
-
 def test_fold_fills_and_keeps(spark):
     base = spark.createDataFrame([(1, "Nike", "caption", None, None, None, 5000, "caption", None, False, 0, DAY0, DAY0)],
                                  "listing_id long, brand string, brand_source string, size_label string, size_eu "
