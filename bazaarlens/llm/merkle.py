@@ -26,6 +26,7 @@ LEAF_MOST = 64  # bytes of a leaf at most, but for the rest of a last character
 HEAD = 4  # a leaf that starts k bytes into a text has 1 + k / HEAD bytes at most
 ROLL = 8  # bytes under the rolling hash
 BLOCK = 1 << 20  # bytes hashed at once
+PART_BYTES = 32 << 20  # text in a part of the order
 SECTION = 4  # paragraphs of a section, on average
 
 
@@ -179,48 +180,53 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, ghost, doc_id, text) such that each part, sorted, is a run of the descending order of doc_id, and ends
     with a ghost: the row that comes next, from the part behind it or, after the last, from the first.
 
-    One shuffle of the texts by range. Bounds come from a quantile sketch and the ghosts from one row per part; both
-    have a row per part. Null ids come last; rows of one id are ordered by a hash of their text."""
+    One shuffle of the texts, every part in a partition of its own. Bounds come from a quantile sketch and are found
+    again in a sorted array; the ghosts come from a table with a row per part. Null ids come last; rows of one id are
+    ordered by a hash of their text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = keyed.select("doc_id", F.xxhash64("text").alias("tie"))
-    splits = ids.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)
-    edges = sorted({int(x) for x in splits}, reverse=True)
-    part = F.lit(0)
-    for e in edges:
-        part = part + F.when(F.col("doc_id").isNull() | (F.col("doc_id") < e), 1).otherwise(0)
-    first = F.min(F.struct((-F.col("doc_id")).alias("o"), "tie")).alias("first")
-    low = ids.withColumn("part", part).withColumn("none", F.col("doc_id").isNull())
-    heads = cut_lineage(low.groupBy("part", "none").agg(first)).orderBy("part", "none").collect()  # a row per part
-    starts = {}
-    for h in heads:
-        starts.setdefault(h["part"], (h["none"], h["first"]["o"], h["first"]["tie"]))
-    used = sorted(starts)
-    targets = F.array().cast("array<int>")
-    tie = F.xxhash64("text")
-    for k, p in enumerate(used):  # the head of each part also ends the part before it
-        none, o, t = starts[p]
-        is_head = (F.col("doc_id").isNull() if none else F.col("doc_id") == -o) & (tie == F.lit(t))
-        targets = F.when(is_head, F.array(F.lit(used[k - 1]))).otherwise(targets)
-    out = keyed.withColumn("part", part).select(
-        F.explode(F.concat(F.array(F.struct(F.col("part"), F.lit(False).alias("ghost"))),
-                           F.transform(targets, lambda x: F.struct(x.alias("part"), F.lit(True).alias("ghost"))))).alias("to"),
-        "doc_id", "text")
-    out = out.select("to.part", "to.ghost", "doc_id", "text").repartition(max(1, parts), "part")
+    shares = [k / parts for k in range(1, parts)]
+    splits = ids.where("doc_id is not null").approxQuantile("doc_id", shares, 0.1 / parts) if shares else []
+    edges = np.unique(np.array(splits, np.float64)).astype(np.int64)
+
+    @F.arrow_udf("int")
+    def part_of(doc_id: pa.Array) -> pa.Array:
+        below = np.searchsorted(edges, doc_id.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(doc_id.is_null().to_numpy(zero_copy_only=False), len(edges), len(edges) - below), pa.int32())
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("o"), "tie")).alias("first")
+    heads = cut_lineage(ids.withColumn("part", part_of("doc_id")).groupBy("part").agg(first))
+    used = sorted(r[0] for r in heads.select("part").collect())  # a row per part
+    behind = [(p, used[k - 1]) for k, p in enumerate(used)]  # the head of each part also ends the part before it
+    ends = heads.join(docs.sparkSession.createDataFrame(behind, "part int, ends int"), "part").select(
+        "part", "ends", F.col("first.o").alias("head_o"), F.col("first.tie").alias("head_tie"))
+    placed = keyed.withColumn("part", part_of("doc_id")).join(F.broadcast(ends), "part")  # a row per part
+    is_head = (-F.col("doc_id")).eqNullSafe(F.col("head_o")) & (F.xxhash64("text") == F.col("head_tie"))
+    both = F.array(F.struct(F.col("part"), F.lit(False).alias("ghost")), F.struct(F.col("ends").alias("part"), F.lit(True).alias("ghost")))
+    out = placed.select(F.explode(F.when(is_head, both).otherwise(F.slice(both, 1, 1))).alias("to"), "doc_id", "text")
+    out = out.select("to.part", "to.ghost", "doc_id", "text").repartitionById(len(edges) + 1, "part")
     return out.withColumn("tie", F.xxhash64("text")).sortWithinPartitions(
         "part", "ghost", F.desc_nulls_last("doc_id"), "tie").drop("tie")
 
 
+def part_count(docs: DataFrame) -> int:
+    """Parts of about PART_BYTES, and no fewer than the session has shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edit_start, edit_end.
 
     The edited text replaces the last third of the characters (rounded down) by as many first ones of the next
     document in descending doc_id, or all it has; the last document is followed by the first. Null texts are empty. An
     only row is its own next. Of rows with one doc_id the order is that of a hash of their texts; rows with null ids
-    come last. edit_start and edit_end are bytes of the text, null if nothing differs."""
+    come last. edit_start and edit_end are bytes of the text, null if nothing differs. A very long text is one row of one
+    part like any other; an empty table gives an empty result."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or part_count(docs)
     kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
              "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(),
              "edit_start": pa.int64(), "edit_end": pa.int64()}
