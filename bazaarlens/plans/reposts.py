@@ -56,12 +56,13 @@ def _fold_input(spark, folder):
         "size_label": F.when(F.col("qty") % 4 == 0, F.concat(F.lit("EU "), F.col("qty").cast("string"))),
         "size_eu": F.when(F.col("qty") % 4 == 0, F.col("qty").cast("decimal(4,1)")),
         "currency": F.when(F.col("qty") % 5 == 0, "PKR"), "price_on_request": F.col("qty") == 50,
-        "source": F.col("match_kind"), "price": F.when(F.col("qty") % 2 == 0, F.col("price"))})
+        "size_approx": F.col("qty") % 8 == 0, "source": F.col("match_kind"), "price": F.when(F.col("qty") % 2 == 0, F.col("price"))})
     base = t.listings(spark, folder, with_vector=False).select(
         "listing_id", F.when(lid % 3 == 0, F.col("brand")).alias("brand"), "brand_source",
         F.when(lid % 4 == 0, F.lit("EU 40")).alias("size_label"), F.when(lid % 4 == 0, F.lit(40).cast("decimal(4,1)"))
-        .alias("size_eu"), "size_source", F.col("price").cast("double").alias("price"),
-        F.lit("caption").alias("price_source"), "currency", F.lit(False).alias("price_on_request"),
+        .alias("size_eu"), F.when(lid % 4 == 0, False).alias("size_approx"), "size_source",
+        F.when(lid % 6 != 0, F.col("price")).cast("double").alias("price"),
+        F.when(lid % 6 != 0, "caption").alias("price_source"), "currency", F.lit(False).alias("price_on_request"),
         F.lit(0).alias("repost_count"), F.col("last_seen").alias("first_seen"), "last_seen")
     return base, op.new_sightings(facts, None, [F.col(c) for c in ("seen_at", "listing_id", "suppkey", "qty")]), order
 
@@ -81,11 +82,15 @@ FOLD_PLACE = "seen_at, listing_id, price, suppkey, qty, match_kind"
              first(s_brand ORDER BY {FOLD_PLACE}) FILTER (s_brand IS NOT NULL) AS s_brand,
              first(s_size ORDER BY {FOLD_PLACE}) FILTER (s_size IS NOT NULL) AS s_size,
              first(s_currency ORDER BY {FOLD_PLACE}) FILTER (s_currency IS NOT NULL) AS s_currency,
-             bool_or(qty = 50) AS on_request
+             last(match_kind ORDER BY {FOLD_PLACE}) FILTER (s_price IS NOT NULL) AS s_price_source,
+             first(qty % 8 = 0 ORDER BY {FOLD_PLACE}) FILTER (s_size IS NOT NULL) AS s_approx,
+             bool_or(qty = 50) AS on_request, first(match_kind ORDER BY {FOLD_PLACE}) FILTER (qty = 50) AS s_asked
       FROM facts GROUP BY listing_id)
     SELECT l.listing_id, coalesce(f.n, 0) AS repost_count, epoch_us(greatest(l.last_seen, f.last_at)) AS last_us,
            epoch_us(least(l.last_seen, f.first_at)) AS first_us,
-           coalesce(f.s_price, CAST(l.price AS DOUBLE)) AS price,
+           coalesce(f.s_price, CASE WHEN l.listing_id % 6 <> 0 THEN CAST(l.price AS DOUBLE) END) AS price,
+           coalesce(f.s_price_source, CASE WHEN l.listing_id % 6 <> 0 THEN 'caption' END, f.s_asked) AS price_source,
+           CASE WHEN l.listing_id % 4 = 0 THEN false ELSE f.s_approx END AS size_approx,
            coalesce(CASE WHEN l.listing_id % 3 = 0 THEN l.brand END, f.s_brand) AS brand,
            coalesce(CASE WHEN l.listing_id % 4 = 0 THEN 'EU 40' END, f.s_size) AS size_label,
            coalesce(l.currency, f.s_currency) AS currency, coalesce(f.on_request, false) AS price_on_request
@@ -94,8 +99,8 @@ def repost_fold(spark, folder):
     base, facts, order = _fold_input(spark, folder)
     folded = op.repost_fold(base, facts, order)
     return folded.select("listing_id", "repost_count", F.unix_micros("last_seen").alias("last_us"),
-                         F.unix_micros("first_seen").alias("first_us"), "price", "brand", "size_label", "currency",
-                         "price_on_request")
+                         F.unix_micros("first_seen").alias("first_us"), "price", "price_source", "brand",
+                         "size_label", "size_approx", "currency", "price_on_request")
 
 
 @query("segment_embedding", """
@@ -150,16 +155,26 @@ def stratified_pairs(spark, folder):
 
 
 @query("repost_clusters", f"""
-    WITH RECURSIVE img AS MATERIALIZED (SELECT post_id, hi, lo FROM v_doc_image),
+    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    img AS MATERIALIZED (
+      SELECT h.post_id, h.hi, h.lo, h.seller, h.post_id % 2 AS owner, h.post_id * 37 % 400 AS day, e.v
+      FROM v_doc_image h LEFT JOIN e ON e.vec_id = h.post_id // 2 % (SELECT count(*) FROM embeddings)),
     edges AS MATERIALIZED (
-      SELECT a.post_id AS x, b.post_id AS y FROM img a JOIN img b ON a.post_id <> b.post_id AND {HAMMING} <= 2),
+      SELECT a.post_id AS x, b.post_id AS y FROM img a JOIN img b ON a.post_id <> b.post_id AND abs(a.day - b.day) < 90
+       AND ((a.owner = b.owner AND {HAMMING} <= 2)
+            OR (a.seller = b.seller AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.96))),
     reach AS (
       SELECT post_id AS x, post_id AS y FROM img
       UNION
       SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
     SELECT x AS post_id, min(y) AS listing_id, count(*) AS n_posts FROM reach GROUP BY x""", ("v_doc_image",))
 def repost_clusters(spark, folder):
-    return op.repost_clusters(t.doc_images(spark, folder))
+    """Documents of two owners over 400 days, linked by hash or by vector."""
+    docs = t.doc_images(spark, folder).withColumn("half", F.floor(F.col("post_id") / 2))
+    rows = t.with_vectors(spark, folder, docs, "half", "embedding").select(
+        "post_id", "phash", "seller", (F.col("post_id") % 2).cast("string").alias("owner"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("post_id") * 37 % 400 * 86400).alias("seen_at"), "embedding")
+    return op.repost_clusters(rows)
 
 
 @query("price_history", """

@@ -170,17 +170,19 @@ def test_fold_fills_and_keeps(spark):
     base = spark.createDataFrame([(1, "Nike", "caption", None, None, None, 5000, "caption", None, False, 0, DAY0, DAY0)],
                                  "listing_id long, brand string, brand_source string, size_label string, size_eu "
                                  "decimal(4,1), size_source string, price int, price_source string, currency string, "
-                                 "price_on_request boolean, repost_count int, first_seen timestamp, last_seen timestamp")
+                                 "price_on_request boolean, repost_count int, first_seen timestamp, last_seen timestamp").withColumn(
+        "size_approx", F.lit(None).cast("boolean"))
     later, sooner = DAY0 + dt.timedelta(days=9), DAY0 - dt.timedelta(days=9)
     facts = spark.createDataFrame([(1, 8, 0, later, 4200, "Puma", "EU 42", "PKR", False, "ocr", 1),
                                    (1, 9, 0, sooner, None, None, "EU 44", None, True, "caption", 2),
                                    (1, 8, 0, later, 1, None, None, None, False, "caption", 3)],
                                   "listing_id long, post_id long, segment_idx int, seen_at timestamp, price int, brand "
                                   "string, size_label string, currency string, price_on_request boolean, source string, "
-                                  "place int").withColumn("size_eu", F.lit(None).cast("decimal(4,1)"))
+                                  "place int").withColumn("size_eu", F.lit(None).cast("decimal(4,1)")).withColumn(
+        "size_approx", F.col("place") == 1)
     new = reposts.new_sightings(facts, None, [F.col("place")])
     r = reposts.repost_fold(base, new, [F.col("place")]).first()
     assert (r.brand, r.size_label, r.size_source, r.price, r.price_source) == ("Nike", "EU 42", "ocr", 4200, "ocr")
-    assert (r.repost_count, r.currency, r.price_on_request) == (2, "PKR", True)
+    assert (r.repost_count, r.currency, r.price_on_request, r.size_approx) == (2, "PKR", True, True)
     assert (r.first_seen, r.last_seen) == (sooner, later)
     assert reposts.new_sightings(facts, facts, [F.col("place")]).count() == 0
