@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import ids
 from bazaarlens.operators import chunked
+PART_LINES = 65536
 
 
 def occurrence_keys(msgs: DataFrame, chat: Column, position: Column) -> DataFrame:
@@ -98,8 +99,11 @@ def parse_chat_ts(date: Column, clock: Column, date_order: Column, tz: str) -> C
     return F.try_make_timestamp(year, month, day, hour, minute, F.coalesce(F.get(c, F.lit(2)), F.lit(0)), F.lit(tz))
 
 
-def assemble_messages(headers: DataFrame, formats: DataFrame, tz: str) -> DataFrame:
-    """Messages of the files whose format is known: file, line_no (of the header), header, sender, ts, body.
+def assemble_messages(headers: DataFrame, formats: DataFrame, tz: str, part_lines: int = PART_LINES) -> DataFrame:
+    """Messages of the files whose format is known: file, line_no (of the header), header, sender, ts, body, part.
+
+    A message of more than `part_lines` lines is several rows, part 0, 1, 2, ... in order, so that no row and no task
+    holds more lines than that; the parts joined by line breaks are the body. Any other message is one row.
 
     Lines after a header belong to its message; a header without a sender is a system message and goes with its
     continuation lines. Message numbers are a running count of headers, taken in chunks of lines for a long file."""
@@ -111,14 +115,20 @@ def assemble_messages(headers: DataFrame, formats: DataFrame, tz: str) -> DataFr
     sender = F.regexp_extract("head.rest", SENDER, 1)
     text = F.when(F.col("head").isNotNull(), F.regexp_extract("head.rest", SENDER, 2)).otherwise(F.col("line"))
     spoken = F.col("head").isNotNull() & F.col("head.rest").rlike(SENDER)
-    messages = numbered.where("message_no > 0").groupBy("file", "message_no").agg(
-        F.min("line_no").alias("line_no"), F.max(F.when(spoken, F.trim(sender))).alias("sender"),
-        F.max("head").alias("head"), F.max("date_order").alias("date_order"),
-        F.sort_array(F.collect_list(F.struct("line_no", text.alias("text")))).alias("_lines"))
-    return messages.where(F.col("sender").isNotNull()).select(
+    told = numbered.where("message_no > 0")
+    heads = told.where(F.col("head").isNotNull()).select(
+        "file", "message_no", F.col("line_no").alias("start"), F.when(spoken, F.trim(sender)).alias("sender"),
+        F.col("head").alias("first"), F.col("date_order").alias("order"))
+    placed = told.join(heads, ["file", "message_no"]).where(F.col("sender").isNotNull()).withColumn(
+        "part", F.floor((F.col("line_no") - F.col("start")) / part_lines).cast("int"))
+    messages = placed.groupBy("file", "message_no", "part").agg(
+        F.min("start").alias("line_no"), F.max("sender").alias("sender"), F.max("first").alias("head"),
+        F.max("order").alias("date_order"),
+        F.sort_array(F.collect_list(F.struct("line_no", text.alias("text")))).alias("_lines"))  # part_lines at most
+    return messages.select(
         "file", "line_no", F.concat_ws(" ", "head.date", "head.clock").alias("header"), "sender",
         parse_chat_ts(F.col("head.date"), F.col("head.clock"), F.col("date_order"), tz).alias("ts"),
-        F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("body"))
+        F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("body"), "part")
 
 
 def _strip(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import chunked
@@ -13,6 +13,12 @@ LOCAL_STATES = ("done", "awaiting_vlm", "failed")
 TTL = "interval 24 hours"
 STALE_ALBUM = "interval 7 days"
 UPLOAD_SOURCE, LOCAL_OWNER = "demo_upload", "local"
+# What hangs on what (parent, its key, child, the child's column), parents first; keys of tables in between.
+LINKS = (("posts", "post_id", "images", "post_id"), ("posts", "post_id", "calls", "post_id"),
+         ("posts", "post_id", "listings", "post_id"), ("posts", "post_id", "sightings", "post_id"),
+         ("listings", "listing_id", "sightings", "listing_id"), ("listings", "listing_id", "matches", "listing_id"),
+         ("wishlists", "wishlist_id", "matches", "wishlist_id"))
+PRIMARY = {"listings": ["listing_id"]}
 
 
 def listing_with_cover(listings: DataFrame, images: DataFrame) -> DataFrame:
@@ -108,10 +114,12 @@ def reset_for_reprocess(posts: DataFrame, listings: DataFrame, sightings: DataFr
             "sightings": sightings.join(ids, "post_id", "left_anti"), "images": cleared.drop("_in")}
 
 
-def replace_by_source(stored: DataFrame, fresh: DataFrame, source: str) -> DataFrame:
-    """The table with one source's rows replaced. Written partitioned by source with dynamic overwrite, only that
-    source's folder changes."""
-    return stored.where(~F.col("source").eqNullSafe(source)).unionByName(fresh.where(F.col("source") == source))
+def replace_by_source(spark: SparkSession, path: str, fresh: DataFrame, source: str) -> DataFrame:
+    """Replace one source's rows of a stored table that is partitioned by source: only that source's folder is
+    rewritten (dynamic overwrite). Fresh rows of other sources are left out. Returns the table."""
+    (fresh.where(F.col("source") == source).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("source").parquet(path))
+    return spark.read.parquet(path)
 
 
 def gap_listings(listings: DataFrame, posts: DataFrame, images: DataFrame, provider: str) -> DataFrame:
@@ -126,15 +134,41 @@ def gap_listings(listings: DataFrame, posts: DataFrame, images: DataFrame, provi
     return needs_enrichment(rows, policy=F.lit("auto"), provider=F.lit(provider)).where("needed")
 
 
-def ttl_purge(posts: DataFrame, wishlists: DataFrame, children: dict[str, DataFrame], now: Column
-              ) -> dict[str, DataFrame]:
-    """Survivors after uploads and session wishlists older than a day leave; rows below a purged post go with it."""
-    gone = posts.where((F.col("source") == UPLOAD_SOURCE) & (F.col("created_at") < now - F.expr(TTL)))
-    kept_wishlists = wishlists.where(
-        (F.col("owner") == LOCAL_OWNER) | ~(F.col("created_at") < now - F.expr(TTL)))
-    out = {"posts": posts.join(gone.select("post_id"), "post_id", "left_anti"), "wishlists": kept_wishlists}
-    for name, child in children.items():
-        out[name] = child.join(gone.select("post_id"), "post_id", "left_anti")
+def cascade(tables: dict[str, DataFrame], gone: dict[str, DataFrame], links: tuple = LINKS) -> dict[str, DataFrame]:
+    """The tables without the rows that are gone and all that hang on them. `gone`: key rows per table; links in an order
+    in which a table's own losses are known before those below it. Each level is one semi join and one anti join."""
+    lost = {name: keys.distinct() for name, keys in gone.items()}
+    out = dict(tables)
+    for parent, key, child, own in links:
+        if parent not in lost or child not in out:
+            continue
+        keys = lost[parent].select(F.col(key).alias(own)).distinct()
+        primary = PRIMARY.get(child)
+        if primary:
+            below = out[child].join(keys, own, "left_semi").select(*primary)
+            lost[child] = below if child not in lost else lost[child].select(*primary).unionByName(below).distinct()
+        out[child] = out[child].join(keys, own, "left_anti")
+    return out
+
+
+def ttl_purge(tables: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+    """Survivors after uploads and session wishlists older than a day leave. Rows below a purged post, listing or wishlist
+    go with it, level by level; then blobs older than a day that no photo and no wishlist refers to any more.
+
+    tables: posts, wishlists and any of those in LINKS; blobs (sha256, created_at) if images (sha256) are there too;
+    wishlists may carry ref_image_sha."""
+    old = F.col("created_at") < now - F.expr(TTL)
+    posts, wishlists = tables["posts"], tables["wishlists"]
+    gone = {"posts": posts.where((F.col("source") == UPLOAD_SOURCE) & old).select("post_id"),
+            "wishlists": wishlists.where((F.col("owner") != LOCAL_OWNER) & old).select("wishlist_id")}
+    out = cascade(tables | {"posts": posts.join(gone["posts"], "post_id", "left_anti"),
+                            "wishlists": wishlists.join(gone["wishlists"], "wishlist_id", "left_anti")}, gone)
+    if "blobs" in out:
+        held = out["images"].select("sha256")
+        if "ref_image_sha" in wishlists.columns:
+            held = held.unionByName(out["wishlists"].select(F.col("ref_image_sha").alias("sha256")))
+        stale = out["blobs"].where(old).join(held, "sha256", "left_anti").select("sha256")
+        out["blobs"] = out["blobs"].join(stale, "sha256", "left_anti")
     return out
 
 

@@ -187,8 +187,17 @@ def build_messages(spark, folder):
     return made.groupBy(file_no_of("file").alias("file_no"), "kind", "missing").agg(F.count_distinct("key").alias("n"))
 
 
-@query("list_media")
+MEDIA_BYTES = 8000
+
+
+@query("list_media", f"""
+    SELECT 'page-' || page_id || '.html' AS name, octet_length(encode(html)) + 1 AS length,
+           CASE WHEN octet_length(encode(html)) + 1 > {MEDIA_BYTES} THEN 'too_large' END AS reject_reason FROM pages""")
 def list_media(spark, folder):
-    """The table files themselves as a media folder; sizes only, no content is read."""
-    listed = files.list_media(spark, folder, glob="*.parquet")
-    return files.checked_media(listed, lazy=True).select("name", "length", "reject_reason")
+    """Every page written as a file of its own, and the folder listed: names and sizes, no content is read."""
+    path = fresh_path(spark, "media")
+    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html"))
+    pages = t.load_table(spark, folder, "pages").select(F.col("html").alias("value"), name.alias("name"))
+    pages.repartition("name").write.partitionBy("name").text(path)
+    listed = files.list_media(spark, path, name=F.regexp_extract("path", "/name=([^/]+)/", 1))
+    return files.checked_media(listed, lazy=True, max_bytes=MEDIA_BYTES).select("name", "length", "reject_reason")

@@ -144,11 +144,12 @@ def post_outcome(spark, folder):
                  CASE WHEN call_id % 3 <> 0 THEN 'BRAND#' || (call_id % 25 + 1) END AS got_brand,
                  CASE WHEN call_id % 4 <> 0 THEN call_id % 50 + 1.5 END::DOUBLE AS got_eu,
                  CASE WHEN call_id % 5 <> 0 THEN 'eu' || (call_id % 50 + 1) END AS got_label
-          FROM v_calls c JOIN v_listing l ON l.listing_id = c.call_id % 200) GROUP BY model""", ("v_calls", "v_listing"))
+          FROM v_calls c JOIN v_listing l ON l.listing_id = c.call_id % (SELECT count(*) FROM v_listing)) GROUP BY model""", ("v_calls", "v_listing"))
 def model_eval(spark, folder):
     n = F.col("call_id")
-    predictions = t.calls(spark, folder).select(
-        "model", "status", "cost", (n % 200).alias("listing_id"), (n % 7 != 0).alias("valid_json"),
+    number = t.listings(spark, folder, with_vector=False).agg(F.count(F.lit(1)).alias("_listings"))  # one row
+    predictions = t.calls(spark, folder).join(F.broadcast(number)).select(
+        "model", "status", "cost", (n % F.col("_listings")).alias("listing_id"), (n % 7 != 0).alias("valid_json"),
         (n % 4000).alias("ms"), F.when(n % 3 != 0, F.concat(F.lit("BRAND#"), (n % 25 + 1).cast("string")))
         .alias("got_brand"), F.when(n % 4 != 0, n % 50 + 1.5).alias("got_eu"),
         F.when(n % 5 != 0, F.concat(F.lit("eu"), (n % 50 + 1).cast("string"))).alias("got_label"))

@@ -51,14 +51,15 @@ POSTS = """
 
 def photos(spark, folder):
     """Stored photos: an event photo belongs to the post and content its id names."""
-    e = t.images(spark, folder)
+    number = t.load_table(spark, folder, "orders").agg(F.max("o_orderkey").alias("_posts"))  # one row
+    e = t.images(spark, folder).join(F.broadcast(number))
     n = F.col("image_id")
-    return e.select(n, (n % 997).alias("post_id"), (n % 2).cast("int").alias("segment_idx"), "seq", "dets",
+    return e.select(n, (n % F.col("_posts")).alias("post_id"), (n % 2).cast("int").alias("segment_idx"), "seq", "dets",
                     content_hash((n % 5000).cast("string")).alias("sha256"))
 
 
 PHOTOS = """
-    photos AS (SELECT event_id AS image_id, event_id % 997 AS post_id, event_id % 2 AS segment_idx, event_id AS seq,
+    photos AS (SELECT event_id AS image_id, event_id % (SELECT max(o_orderkey) FROM orders) AS post_id, event_id % 2 AS segment_idx, event_id AS seq,
                       event_id % 5 AS n_dets, sha256(CAST(event_id % 5000 AS VARCHAR)) AS sha256 FROM events)"""
 
 
@@ -208,18 +209,26 @@ def reprocess_counts(spark, folder):
     UNION ALL SELECT 'listings', count(*), 0 FROM v_listing WHERE listing_id NOT IN (FROM taken)
     UNION ALL SELECT 'sightings', count(*), 0 FROM v_sighting s JOIN posts p ON p.post_id = s.post_id
               WHERE p.source = 'demo_upload' AND s.post_id NOT IN (FROM taken)
-    UNION ALL SELECT 'images', count(*), count(*) FILTER (post_id IN (FROM taken)) FROM photos""",
-       ("v_listing", "v_sighting"))
+    UNION ALL SELECT 'images', count(*), count(*) FILTER (post_id IN (FROM taken)) FROM photos
+    UNION ALL SELECT 'refused', count(*) FILTER (n > 0), 0 FROM (
+      SELECT count(*) AS n FROM v_sighting s JOIN posts p ON p.post_id = s.post_id
+      WHERE p.source <> 'demo_upload' AND s.listing_id IN (FROM taken))""", ("v_listing", "v_sighting"))
 def reset_for_reprocess(spark, folder):
-    """Sizes of the four tables after a reset of the uploads, and how many rows were reset in place. Sightings by other
-    sources are left out first: with them the reset refuses."""
+    """Sizes of the four tables after a reset of the uploads, and how many rows were reset in place; and whether the
+    reset refuses while sightings by other sources are there, as it does with the whole table of sightings."""
     p = posts(spark, folder)
+    try:
+        op.reset_for_reprocess(p, stored_listings(spark, folder), t.sightings(spark, folder), photos(spark, folder), "demo_upload")
+        refused = 0
+    except ValueError:
+        refused = 1
     own = p.where(F.col("source") == "demo_upload").select("post_id")
     seen = t.sightings(spark, folder).join(own, "post_id", "left_semi")
     after = op.reset_for_reprocess(p, stored_listings(spark, folder), seen, photos(spark, folder), "demo_upload")
     marks = {"posts": F.col("status") == "received", "images": F.col("segment_idx").isNull()}
     counted = [df.agg(F.count(F.lit(1)).alias("n"), F.count_if(marks.get(n, F.lit(False))).alias("marked")).select(
         F.lit(n).alias("name"), "n", "marked") for n, df in after.items()]
+    counted.append(p.agg(F.lit(refused).cast("long").alias("n")).select(F.lit("refused").alias("name"), "n", F.lit(0).cast("long").alias("marked")))
     return functools.reduce(lambda a, b: a.unionByName(b), counted)
 
 
@@ -232,9 +241,8 @@ def replace_by_source(spark, folder):
     stored = t.listings(spark, folder, with_vector=False).select("listing_id", "price", "source")
     path = fresh_path(spark, "listings-by-source")
     stored.write.partitionBy("source").parquet(path)
-    fresh = stored.where(F.col("source") == "demo_seed").withColumn("price", F.col("price") + 5)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
-    return spark.read.parquet(path).groupBy("source").agg(
+    fresh = stored.withColumn("price", F.col("price") + 5)
+    return op.replace_by_source(spark, path, fresh, "demo_seed").groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
@@ -256,18 +264,39 @@ def gap_listings(spark, folder):
 
 
 @query("ttl_purge", f"""
-    WITH {POSTS}, gone AS (SELECT post_id FROM posts WHERE source = 'demo_upload'
-                           AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 24 HOUR)
+    WITH {POSTS}, {PHOTOS}, gone AS (SELECT post_id FROM posts WHERE source = 'demo_upload'
+                                     AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 24 HOUR),
+    away AS (SELECT listing_id FROM v_listing WHERE listing_id IN (FROM gone)),
+    wish AS (SELECT wishlist_id, 'ref' || wishlist_id % 50 AS ref FROM v_wishlist WHERE owner = 'local' OR wishlist_id % 2 = 0),
+    kept AS (SELECT * FROM photos WHERE post_id NOT IN (FROM gone)),
+    blobs AS (SELECT DISTINCT sha256, image_id % 3 = 0 AS fresh FROM photos WHERE image_id < 5000
+              UNION ALL SELECT 'ref' || i, false FROM range(50) r(i))
     SELECT 'posts' AS name, count(*) AS n FROM posts WHERE post_id NOT IN (FROM gone)
-    UNION ALL SELECT 'sightings', count(*) FROM v_sighting WHERE post_id NOT IN (FROM gone)
-    UNION ALL SELECT 'wishlists', count(*) FROM v_wishlist WHERE owner = 'local' OR wishlist_id % 2 = 0""",
-       ("v_sighting", "v_wishlist"))
+    UNION ALL SELECT 'images', count(*) FROM kept
+    UNION ALL SELECT 'listings', count(*) FROM v_listing WHERE listing_id NOT IN (FROM away)
+    UNION ALL SELECT 'sightings', count(*) FROM v_sighting WHERE post_id NOT IN (FROM gone) AND listing_id NOT IN (FROM away)
+    UNION ALL SELECT 'calls', count(*) FROM v_calls WHERE post_id NOT IN (FROM gone)
+    UNION ALL SELECT 'matches', count(*) FROM v_listing l, range(4) r(i)
+              WHERE l.listing_id NOT IN (FROM away) AND (l.listing_id * 4 + i) % 200 IN (SELECT wishlist_id FROM wish)
+    UNION ALL SELECT 'blobs', count(*) FROM blobs
+              WHERE fresh OR sha256 IN (SELECT sha256 FROM kept) OR sha256 IN (SELECT ref FROM wish)
+    UNION ALL SELECT 'wishlists', count(*) FROM wish""", ("v_listing", "v_sighting", "v_wishlist", "v_calls"))
 def ttl_purge(spark, folder):
     at = F.lit("1998-01-01 00:00:00").cast("timestamp")
-    wishlists = t.wishlists(spark, folder, with_vector=False).withColumn(
-        "created_at", at - F.when(F.col("wishlist_id") % 2 == 0, F.expr("interval 1 hour")).otherwise(
-            F.expr("interval 3 days")))
-    kept = op.ttl_purge(posts(spark, folder), wishlists, {"sightings": t.sightings(spark, folder)}, at)
+    age = lambda fresh: at - F.when(fresh, F.expr("interval 1 hour")).otherwise(F.expr("interval 3 days"))
+    n = F.col("wishlist_id")
+    wishlists = t.wishlists(spark, folder, with_vector=False).withColumn("created_at", age(n % 2 == 0)).withColumn(
+        "ref_image_sha", F.concat(F.lit("ref"), (n % 50).cast("string")))
+    stored, shots = stored_listings(spark, folder), photos(spark, folder)
+    matches = stored.select("listing_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select(
+        "listing_id", ((F.col("listing_id") * 4 + F.col("i")) % 200).alias("wishlist_id")).join(
+        wishlists.select("wishlist_id"), "wishlist_id", "left_semi")
+    contents = shots.where("image_id < 5000").select("sha256", age(F.col("image_id") % 3 == 0).alias("created_at")).distinct()
+    refs = spark.range(50).select(F.concat(F.lit("ref"), F.col("id").cast("string")).alias("sha256"),
+                                  age(F.lit(False)).alias("created_at"))
+    kept = op.ttl_purge({"posts": posts(spark, folder), "wishlists": wishlists, "images": shots, "listings": stored,
+                         "sightings": t.sightings(spark, folder), "calls": t.calls(spark, folder), "matches": matches,
+                         "blobs": contents.unionByName(refs)}, at)
     counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, df in kept.items()]
     return functools.reduce(lambda a, b: a.unionByName(b), counted)
 

@@ -57,11 +57,14 @@ def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
                            ).unionByName(tail)
 
 
-def list_media(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Name, path, size of every file below a folder. Content is not read unless a later step asks for it."""
+def list_media(spark: SparkSession, path: str, glob: str | None = None, name: Column | None = None) -> DataFrame:
+    """Name, path, size of every file below a folder. Content is not read unless a later step asks for it. The name is the
+    file's own, or what `name` makes of the path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(~F.col("name").startswith("."))
+    own = F.element_at(F.split("path", "/"), -1)
+    files = files.select("path", "length", "modificationTime", "content").where(~own.startswith(".") & ~own.startswith("_"))
+    return files.withColumn("name", own if name is None else name)
 
 
 def checked_media(files: DataFrame, lazy: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
