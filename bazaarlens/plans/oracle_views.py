@@ -113,7 +113,7 @@ def _vote_bits(column: str) -> str:
 VIEWS["v_hash"] = VIEWS["v_hash"].format(hi=_vote_bits("h0"), lo=_vote_bits("h1")).replace(
     "CAST(hi AS BIGINT) * 4294967296 + CAST(lo AS BIGINT) AS unsigned_hash, hi, lo", "hi, lo")
 VIEWS["v_doc_image"] = """
-        SELECT h.doc_id AS post_id, h.hi, h.lo, min(h.doc_id) OVER (PARTITION BY h.hi, h.lo) AS listing_id,
+        SELECT h.doc_id AS post_id, h.hi, h.lo, h.doc_id AS listing_id,
                d.source AS seller
         FROM v_hash h JOIN documents d ON d.doc_id = h.doc_id"""
 

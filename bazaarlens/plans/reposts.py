@@ -12,12 +12,9 @@ HAMMING = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
 
 
 def _dated(images):
-    """Known photos with their listing's seller and time; the listing is the lowest of its copies."""
-    owner = images.select(F.col("post_id").alias("listing_id"), F.col("seller").alias("_s")).join(
-        images.select("listing_id").distinct(), "listing_id")
-    return (images.drop("seller").join(owner, "listing_id").withColumnRenamed("_s", "seller")
-            .withColumn("owner", F.lit(None).cast("string"))
-            .withColumn("last_seen", F.timestamp_seconds(F.lit(1704067200) + F.col("listing_id") % 200 * 86400)))
+    """Known photos with their listing's owner and time."""
+    return images.withColumn("owner", F.lit(None).cast("string")).withColumn(
+        "last_seen", F.timestamp_seconds(F.lit(1704067200) + F.col("listing_id") % 200 * 86400))
 
 
 @query("repost_by_hash", f"""

@@ -171,15 +171,14 @@ def simhash(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
 
 
 def doc_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as photos: each document is a post of one photo whose hash is the text's fingerprint. Texts with one
-    and the same hash are already folded into the listing of the lowest id, as the resolver leaves them.
+    """Documents as photos: each document is a post of one photo whose hash is the text's fingerprint, and a listing of
+    its own; copies are not folded.
 
     The fingerprints are written once to the shared folder: callers read them many times, the texts only here."""
     docs = dealt(load_table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
     hashed = cut_lineage(simhash(docs, ["doc_id", "source"], "text"))
-    folded = hashed.groupBy("phash").agg(F.min("doc_id").alias("listing_id"))
-    return hashed.join(folded, "phash").select(F.col("doc_id").alias("post_id"), "phash", "listing_id",
-                                               F.col("source").alias("seller"))
+    return hashed.select(F.col("doc_id").alias("post_id"), "phash", F.col("doc_id").alias("listing_id"),
+                         F.col("source").alias("seller"))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rn") -> DataFrame:

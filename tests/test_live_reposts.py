@@ -90,3 +90,39 @@ def test_a_change_touches_its_buckets_only(spark):
     # a change that died before its manifest line is not there
     rows.withColumn("bucket", table.bucket()).write.partitionBy("bucket").parquet(f"{table.path}/data/version=99")
     assert table.read().where("v = 9").count() == 2
+
+
+def test_hash_reposts_against_all_pairs(spark):
+    """Hot hashes, listings with equal photo sets, posts in several listings, two distances, windows and owners."""
+    from bazaarlens.operators import reposts
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    near = lambda: signed(rng.choice([base[0], base[0], base[1], base[2]]) ^ (1 << rng.randrange(64)) * rng.choice([0, 0, 1]))
+    listings = {i: (rng.choice("ab"), rng.choice([None, "u"]), rng.randrange(200)) for i in range(40)}
+    known = [(near(), i, rng.choice([100 + i, rng.randrange(100, 140)]), *listings[i]) for i in listings for _ in range(rng.choice([1, 1, 2, 3]))]
+    new = [(p, s, near(), rng.choice("ab"), rng.choice([None, "u"]), rng.randrange(200)) for p in range(100, 140) for s in (0, 1)]
+    new = [(p, s, h, *rest) for p, s, h0, *rest in new for h in {h0, near(), near()}]
+    at = lambda d: DAY0 + dt.timedelta(days=d)
+    for most, cross in ((2, 2), (4, 1)):
+        want = {}
+        for p, s in {x[:2] for x in new}:
+            mine = [x for x in new if x[:2] == (p, s)]
+            score = {}
+            for i, (seller, owner, day) in listings.items():
+                n = 0
+                for _, _, h, sel, own, ref in mine:
+                    limit = most if sel == seller else cross
+                    n += owner == own and day > ref - 90 and any(
+                        i == j and q != p and bin((g ^ h) & (2 ** 64 - 1)).count("1") <= limit for g, j, q, *_ in known)
+                if n:
+                    score[i] = n
+            if score:
+                best = min(score, key=lambda i: (-score[i], i))
+                if score[best] >= -(-len(mine) // 2):
+                    want[p, s] = (best, score[best])
+        got = reposts.repost_by_hash(
+            spark.createDataFrame([(*x[:5], at(x[5])) for x in new], "post_id long, segment_idx int, phash long, seller string, "
+                                  "owner string, ref_time timestamp"),
+            spark.createDataFrame([(*x[:5], at(x[5])) for x in known], "phash long, listing_id long, post_id long, seller string, "
+                                  "owner string, last_seen timestamp"), max_distance=most, cross_distance=cross)
+        assert {(r["post_id"], r["segment_idx"]): (r["listing_id"], r["matched"]) for r in got.collect()} == want and want
