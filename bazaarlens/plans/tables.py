@@ -310,7 +310,6 @@ def stale_album_filter(spark, folder):
     return judged.select("sender", "reject_reason")
 
 
-UPSERT_EXTRA = {"seen_at": F.lit(None).cast("timestamp"), "suppkey": F.lit(None).cast("long")}
 UPSERT_ORDER = ("seen_at", "price", "suppkey")
 
 
@@ -323,8 +322,9 @@ UPSERT_ORDER = ("seen_at", "price", "suppkey")
               WHERE listing_id NOT IN (SELECT listing_id FROM newest)""", ("v_listing", "v_sighting"))
 def upsert_sink(spark, folder):
     stored = t.listings(spark, folder, with_vector=False).select("listing_id", F.col("price").cast("double"))
-    table = BucketTable.new(spark, "listings", stored.withColumns(UPSERT_EXTRA).schema, ["listing_id"])
-    table.append(stored.withColumns(UPSERT_EXTRA))
+    stored = stored.withColumns({"seen_at": F.lit(None).cast("timestamp"), "suppkey": F.lit(None).cast("long")})
+    table = BucketTable.new(spark, "listings", stored.schema, ["listing_id"])
+    table.append(stored)
     new = t.sightings(spark, folder).select("listing_id", "price", "seen_at", "suppkey")
     table.upsert(new, ["listing_id"], [F.col(c) for c in UPSERT_ORDER])
     return table.read().select("listing_id", "price")
