@@ -1,6 +1,8 @@
 """Every operator of the survey is registered; a cross-section runs against its oracle on the smallest tables."""
 
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -31,3 +33,12 @@ def test_against_oracle(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    """The driver lists the queries before it starts Spark."""
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[0]) == len(entry.queries())
