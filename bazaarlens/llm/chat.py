@@ -45,7 +45,7 @@ def _role(head: Column) -> Column:
 def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     """(conv, leaf, place, node) of the `best` branches of each conversation; place counts from the root, from 0.
 
-    messages: conv, node, parent, score. A parent that is not there makes a root; messages on a circle of replies have
+    messages: conv, node, parent, score, a row per (conv, node). A parent that is not there makes a root; messages on a circle of replies have
     none and are left out. Branches rank by the sum of their scores, then by depth, then by the smaller leaf."""
     nodes = messages.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
@@ -128,14 +128,28 @@ def chains(conversations: DataFrame) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(conv, leaf, formatted, mask) for the best branches of reply trees (conv, node, parent, score, role, text)."""
+    """(conv, leaf, formatted, mask) for the best branches of reply trees (conv, node, parent, score, role, text).
+
+    Of rows that repeat a (conv, node) one message stays: the one with the smallest parent, score, role and text, nulls
+    first. Rows without a conv or a node are left out, and so are circles of replies. An empty table gives an empty
+    result; a very long conversation is one text like any other. Other columns are not read."""
+    one = F.min(F.struct("parent", "score", "role", "text")).alias("m")
+    once = messages.where("conv is not null and node is not null").groupBy("conv", "node").agg(one)
+    return _formatted(cut_lineage(once.select("conv", "node", "m.*")), best)
+
+
+def _formatted(messages: DataFrame, best: int = 1) -> DataFrame:
+    """The same of messages that are one row per (conv, node)."""
     turns = branches(messages, best).join(messages.select("conv", "node", "role", "text"), ["conv", "node"])
     return format_turns(turns, ["conv", "leaf"])
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text."""
-    rows = format_trees(cut_lineage(chains(conversations)))
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text.
+
+    Repeated rows are turns of their own, rows without a conv_id are one conversation, null roles and texts are empty; a
+    conversation of any length is one text. An empty table gives an empty result. Other columns are not read."""
+    rows = _formatted(cut_lineage(chains(conversations)))
     turns = read_turns(F.col("formatted"))
     rows = rows.select(F.expr("if(conv = '', null, cast(conv as bigint))").alias("conv_id"), "formatted",
                        turns.alias("turns"), read_learned(F.col("formatted"), F.col("mask")).alias("loss"))
