@@ -83,7 +83,9 @@ def _album_starts(over: DataFrame, inner: Line, run: list[str], rules: AlbumRule
     late = points.where("pos > 0").where(F.col("ts_s") - F.col("_last_ts") > rules.idle_s)
     near = F.col("pos") - 1
     if late.limit(1).count():  # arrivals out of order
-        turned = lambda df: df.select("run", (F.col("_size") - 1 - F.col("pos")).alias("pos"), "ts_s", F.col("ts_s").alias("own_ts"))
+        def turned(df: DataFrame) -> DataFrame:
+            return df.select("run", (F.col("_size") - 1 - F.col("pos")).alias("pos"), "ts_s", F.col("ts_s").alias("own_ts"))
+
         far = jumps.first_beyond(turned(points), turned(late), ["run"],
                                  [jumps.Limit("ts_s", "own_ts", -rules.idle_s, or_equal=True)])
         far = far.join(sizes, "run").select("run", (F.col("_size") - 1 - F.col("pos")).alias("pos"), F.lit(True).alias("_far"),

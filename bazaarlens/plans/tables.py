@@ -228,7 +228,8 @@ def reset_for_reprocess(spark, folder):
     marks = {"posts": F.col("status") == "received", "images": F.col("segment_idx").isNull()}
     counted = [df.agg(F.count(F.lit(1)).alias("n"), F.count_if(marks.get(n, F.lit(False))).alias("marked")).select(
         F.lit(n).alias("name"), "n", "marked") for n, df in after.items()]
-    counted.append(p.agg(F.lit(refused).cast("long").alias("n")).select(F.lit("refused").alias("name"), "n", F.lit(0).cast("long").alias("marked")))
+    counted.append(p.agg(F.lit(refused).cast("long").alias("n")).select(
+        F.lit("refused").alias("name"), "n", F.lit(0).cast("long").alias("marked")))
     return functools.reduce(lambda a, b: a.unionByName(b), counted)
 
 

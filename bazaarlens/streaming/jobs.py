@@ -165,7 +165,8 @@ def resolve_batch(new: DataFrame, state: RepostState, *, max_distance: int = rep
             *segment, "listing_id", "cos").unionByName(like_known.select(*segment, F.col("o_post").alias("listing_id"), "cos"))
         pairs = hits.select(*segment, "listing_id").unionByName(close.select(*segment, "listing_id")).distinct()
         # the listing's last_seen just before the post: stored, and the highest time of its sightings by earlier posts
-        seen = labels.join(posts.select(*segment, "ref_time"), segment).select("listing_id", "post_id", "segment_idx", F.col("ref_time").alias("_t"))
+        seen = labels.join(posts.select(*segment, "ref_time"), segment).select(
+            "listing_id", "post_id", "segment_idx", F.col("ref_time").alias("_t"))
         asked = pairs.select("listing_id", *segment, F.lit(None).cast("timestamp").alias("_t"), F.lit(True).alias("_asks"))
         timeline = seen.withColumn("_asks", F.lit(False)).unionByName(asked)
         line = chunked.Line(["listing_id"], [F.col("post_id"), F.col("_asks").cast("int").desc(), F.col("segment_idx")],
