@@ -1,7 +1,7 @@
-"""Main text of web pages: mark-up first, then a suffix array per host over what the mark-up leaves open.
+"""Main text of web pages: mark-up first, then a suffix array per host that decides what the mark-up leaves open.
 
-The text of a page outside its article is a stream of words. Suffixes of all streams of a host are sorted: a range
-partitioning by (host, first RUN words, stream) and a sort inside each partition, so a host with a third of all pages
+The text of a page is a stream of words, its article and the rest two zones of it. Suffixes of all streams of a host are
+sorted: a range partitioning by (host, first RUN words, stream) and a sort inside each partition, so a host with a third of all pages
 spans many tasks. Neighbours that agree on RUN words are the windows of repeated substrings; a longer repeat is the
 union of its windows, so the order beyond RUN words is not needed. Equal streams count once.
 
@@ -9,7 +9,7 @@ A repeated window is boilerplate if PAGES different streams or more that hold it
 it, and these are half of its holders at least: pages that are copies of each other share their text, but it is not
 boilerplate. A block that the mark-up leaves open goes if boilerplate covers it and it hangs on the head or the tail of its page, or is shared by a tenth
 of the host; a block of links alone goes too. What an article holds always stays: passages that many articles quote are
-not boilerplate."""
+not boilerplate. So windows of articles meet those of articles, and they count as repeated, but remove nothing."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.markup import GONE, KEEP, OPEN, Block, blocks
+from bazaarlens.llm.markup import KEEP, OPEN, Block, blocks
 from bazaarlens.llm.tables import small_batches
 from bazaarlens.llm.urls import host_of
 from bazaarlens.llm.words import ALNUM, column, words
@@ -33,40 +33,37 @@ OWN = 0.25  # share of a stream's windows that is not repeated, for the stream t
 COVER = 0.8  # share of a block's words
 HOST_SHARE = 0.1
 HEAVY = 1000
-_CUT = ""  # stands for the article in a stream: no window runs across it
+_CUT = ""  # stands between the article and the rest of a stream: no window runs across it
 _KEY = 16 + 4 * RUN
 
-_PAGE = ("page_id long, url string, host binary, stream binary, kept string, "
+_PAGE = ("page_id long, url string, host binary, stream binary, kept boolean, "
          "rest array<struct<state:int,linked:boolean,text:string>>")
 
 
 def _rest(found: list[Block]) -> list[dict]:
-    """The blocks of a page's stream; an article in between leaves one empty entry."""
+    """The blocks of a page's stream, with an empty entry wherever its article begins or ends."""
     out = []
     for b in found:
-        if b.state != KEEP:
-            out.append({"state": b.state, "linked": b.linked, "text": b.text})
-        elif out and out[-1]["text"] != _CUT:
+        if out and (out[-1]["state"] == KEEP) != (b.state == KEEP):
             out.append({"state": KEEP, "linked": False, "text": _CUT})
+        out.append({"state": b.state, "linked": b.linked, "text": b.text})
     return out
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """A row per page: the article's text where the mark-up decides (else null), and the stream."""
+    """A row per page: whether it has an article, and the stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for page, url, host, html in zip(*(b.column(i).to_pylist() for i in range(4))):
                 found = blocks(html)
-                kept = [x.text for x in found if x.state == KEEP]
-                decided = bool(kept) or all(x.state == GONE for x in found)
-                rest = _rest(found)
-                name = hashlib.blake2b(f"{host}\n{bool(kept)}".encode("utf-8", "surrogatepass"), digest_size=16)
+                kept, rest = any(x.state == KEEP for x in found), _rest(found)
+                name = hashlib.blake2b(f"{host}\n{kept}".encode("utf-8", "surrogatepass"), digest_size=16)
                 for x in rest or [{"state": page, "linked": url, "text": ""}]:  # pages without a stream do not meet
                     name.update(f"\n{x['state']} {x['linked']} {x['text']}".encode("utf-8", "surrogatepass"))
                 rows.append({"page_id": page, "url": url, "stream": name.digest(), "rest": rest,
                              "host": hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=16).digest(),
-                             "kept": "\n\n".join(kept) if decided else None})
+                             "kept": kept})
             yield pa.RecordBatch.from_pylist(rows, _arrow_page())
 
     small_batches(pages.sparkSession)
@@ -78,7 +75,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
 def _arrow_page() -> pa.Schema:
     block = pa.struct([("state", pa.int32()), ("linked", pa.bool_()), ("text", pa.string())])
     return pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.binary()), ("stream", pa.binary()),
-                      ("kept", pa.string()), ("rest", pa.list_(block))])
+                      ("kept", pa.bool_()), ("rest", pa.list_(block))])
 
 
 def windows(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,22 +92,31 @@ def windows(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, n
     return every[whole], places[whole], w.bounds
 
 
+def _zones(rest: list[dict], places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether the windows at these places lie in the article."""
+    keep = np.array([x["state"] == KEEP for x in rest], bool)
+    return keep[np.searchsorted(bounds, places, "right") - 1]
+
+
 def _suffixes(streams: DataFrame) -> DataFrame:
-    """A row per distinct window of a stream: its key (host, words), the stream, how many the stream has."""
+    """A row per distinct window of a stream's zone: its key (host, words), the stream, how many the zone has. The key of
+    an article's window has the host's bits inverted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for host, stream, decided, rest in zip(*(b.column(i).to_pylist() for i in range(4))):
-                own, _, _ = windows([x["text"] for x in rest])
-                if not len(own):
-                    continue
-                own = np.unique(np.ascontiguousarray(own).view(f"V{4 * RUN}").ravel())
-                keys = np.empty((len(own), _KEY), np.uint8)
-                keys[:, :16] = np.frombuffer(host, np.uint8)
-                keys[:, 16:] = own.view(np.uint8).reshape(len(own), -1)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [_fixed(keys), pa.array([stream] * n, pa.binary()), pa.array(np.full(n, n, np.int32)),
-                     pa.array(np.full(n, decided))], ["key", "stream", "n", "decided"])
+                every, places, bounds = windows([x["text"] for x in rest])
+                zones = _zones(rest, places, bounds)
+                for zone in (False, True):
+                    own = np.unique(np.ascontiguousarray(every[zones == zone]).view(f"V{4 * RUN}").ravel())
+                    n = len(own)
+                    if not n:
+                        continue
+                    keys, name = np.empty((n, _KEY), np.uint8), np.frombuffer(host, np.uint8)
+                    keys[:, :16] = ~name if zone else name
+                    keys[:, 16:] = own.view(np.uint8).reshape(n, -1)
+                    yield pa.RecordBatch.from_arrays(
+                        [_fixed(keys), pa.array([stream] * n, pa.binary()), pa.array(np.full(n, n, np.int32)),
+                         pa.array(np.full(n, decided))], ["key", "stream", "n", "decided"])
 
     return streams.select("host", "stream", "decided", "rest").mapInArrow(
         run, "key binary, stream binary, n int, decided boolean")
@@ -140,11 +146,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def boilerplate(parsed: DataFrame) -> DataFrame:
-    """(stream, found array<struct<words binary, common boolean>>): the boilerplate windows of every stream that has
-    some. A window is common if a tenth of its host's streams hold it."""
-    streams = parsed.groupBy("host", "stream").agg(F.first("rest").alias("rest"),
-                                                   F.max(F.length("kept") > 0).alias("decided"))
-    streams = cut_lineage(streams.withColumn("decided", F.coalesce("decided", F.lit(False))))
+    """(stream, found array<struct<words binary, common boolean, article boolean>>): the repeated windows of every stream
+    that has some, boilerplate or of articles. A window is common if a tenth of its host's streams hold it."""
+    streams = cut_lineage(parsed.groupBy("host", "stream").agg(F.first("rest").alias("rest"), F.max("kept").alias("decided")))
     sorted_ = _suffixes(streams).repartitionByRange("key", "stream").sortWithinPartitions("key", "stream")
     shared = cut_lineage(sorted_.mapInArrow(_neighbours, "key binary, stream binary, n int, decided boolean"))
     repeated = shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") >= PAGES)
@@ -155,22 +159,23 @@ def boilerplate(parsed: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("votes")))
     size = streams.groupBy("host").agg(F.count(F.lit(1)).alias("streams"))
     chosen = (repeated.join(votes, "key").where((F.col("votes") >= PAGES) & (2 * F.col("votes") >= F.col("holders")))
-              .withColumn("host", F.substring("key", 1, 16)).join(size, "host")
-              .select("key", (F.col("holders") >= HOST_SHARE * F.col("streams")).alias("common")))
+              .withColumn("host", F.substring("key", 1, 16)).join(size, "host", "left")
+              .select("key", F.coalesce(F.col("holders") >= HOST_SHARE * F.col("streams"), F.lit(False)).alias("common"),
+                      F.col("streams").isNull().alias("article")))
     return (held.join(chosen, "key").groupBy("stream")
-            .agg(F.collect_list(F.struct(F.expr("substring(key, 17)").alias("words"), "common")).alias("found")))
+            .agg(F.collect_list(F.struct(F.expr("substring(key, 17)").alias("words"), "common", "article")).alias("found")))
 
 
-def _covered(texts: list[str], found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the stream's words, those in boilerplate windows and those in common ones; where each block's words begin."""
-    own, places, bounds = windows(texts)
+def _covered(rest: list[dict], found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the stream's words, those in repeated windows and those in common ones; where each block's words begin."""
+    own, places, bounds = windows([x["text"] for x in rest])
     marks = np.zeros((2, int(bounds[-1]) + 1), np.int64)
     if found and len(own):
-        names = np.frombuffer(b"".join(x["words"] for x in found), f"V{4 * RUN}")
-        common = {n for n, x in zip(names.tolist(), found) if x["common"]}
-        every = set(names.tolist())
+        every = {(x["words"], x["article"]) for x in found}
+        common = {(x["words"], x["article"]) for x in found if x["common"]}
+        held = list(zip(np.ascontiguousarray(own).view(f"V{4 * RUN}").ravel().tolist(), _zones(rest, places, bounds).tolist()))
         for k, wanted in enumerate((every, common)):
-            at = places[[x in wanted for x in np.ascontiguousarray(own).view(f"V{4 * RUN}").ravel().tolist()]]
+            at = places[[x in wanted for x in held]]
             np.add.at(marks[k], at, 1)
             np.add.at(marks[k], at + RUN, -1)
     marks = marks.cumsum(axis=1)[:, :-1] > 0
@@ -185,11 +190,11 @@ def _mostly(marked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def chosen_blocks(rest: list[dict], found: list[dict]) -> tuple[list[str], int]:
-    """Texts of the open blocks that stay, and how many words of the stream are boilerplate."""
+    """Texts of the open blocks that stay, and how many words of the stream are repeated."""
     texts = [x["text"] for x in rest]
     if not texts:
         return [], 0
-    some, common, bounds = _covered(texts, found)
+    some, common, bounds = _covered(rest, found)
     covered, everywhere = _mostly(some, bounds), _mostly(common, bounds)
     open_ = np.array([x["state"] == OPEN for x in rest])
     gone = ~open_ | everywhere | np.array([x["linked"] for x in rest])
@@ -218,9 +223,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated for every row of pages (page_id, url, html; other columns are not read).
 
     The text is the article's blocks in page order, joined by an empty line; empty if there is none, and for a null or
-    empty html. n_repeated counts the words outside the article in boilerplate that the page shares with others of its
-    host. Urls that are null or name no host count as one host. Rows that repeat a page are rows of their own, with one
-    text; repeated and very long pages are whole. An empty table gives an empty result."""
+    empty html. n_repeated counts the words of the whole page in passages that it shares with others of its host: in the
+    article those of other articles, outside it boilerplate. Urls that are null or name no host count as one host. Rows
+    that repeat a page are rows of their own, with one text; repeated and very long pages are whole. An empty table gives an empty result."""
     parsed = cut_lineage(_parsed(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +233,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts, repeated = [], []
             for kept, rest, found in zip(*(column(b, c).to_pylist() for c in ("kept", "rest", "found"))):
                 open_texts, n = chosen_blocks(rest, found or [])
-                texts.append("\n\n".join(open_texts) if kept is None else kept)
+                article = [x["text"] for x in rest if x["state"] == KEEP and x["text"] != _CUT]
+                texts.append("\n\n".join(article if kept else open_texts))
                 repeated.append(n)
             yield pa.RecordBatch.from_arrays(
                 [column(b, "page_id"), column(b, "url"), pa.array(texts, pa.string()),

@@ -87,6 +87,17 @@ def test_copies_keep_their_text(spark):
     assert all(got[20 + k].endswith("\n\n" + shared) for k in range(8))
 
 
+def test_articles_are_in_the_suffix_array(spark):
+    """A passage of many articles is found and stays; outside an article, the same words are not boilerplate for it."""
+    r = random.Random(6)
+    shared, menu = sentence(r, 20), sentence(r, 10)
+    rows = [(i, "http://a.example/", f"<nav>{menu}</nav><article><p>{sentence(r, 30)}</p><p>{shared}</p></article>") for i in range(5)]
+    rows.append((9, "http://a.example/", f"<div>{shared}</div><div>{sentence(r, 30)}</div>"))
+    got = {x["page_id"]: x for x in texts(spark, rows)}
+    assert all(got[i]["text"].endswith("\n\n" + shared) and got[i]["n_repeated"] == 30 for i in range(5))
+    assert got[9]["text"].startswith(shared) and got[9]["n_repeated"] == 0
+
+
 def test_windows_against_plain_counting(spark):
     r = random.Random(5)
     parts = [sentence(r, 8) for _ in range(6)]
