@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ OUTPUT = ("record string, chat long, sender long, album_key long, n_messages int
           "first_ms long, last_ms long, usable boolean, keys array<long>")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+ROWS_OUT = 8192  # records that leave a shard together
 
 
 @dataclass
@@ -41,6 +43,39 @@ class Album:
     keys: dict[int, None] = field(default_factory=dict)  # in order of arrival
 
 
+class Arrivals:
+    """One shard's messages of one trigger in order of time, flush markers last. They are held as columns of some fifty
+    bytes a message, however many there are; only the one at hand is an object."""
+
+    def __init__(self, parts: Iterator[pd.DataFrame]):
+        held: dict[str, list] = {c: [] for c in ("chat", "sender", "key", "ms", "bytes", "flush", "photo", "usable")}
+        for part in parts:
+            kind = part["kind"].to_numpy()
+            photo, missing = np.asarray(kind == "image", bool), part["missing"].to_numpy()
+            seen = ~missing if missing.dtype == bool else np.array([not x for x in missing], bool)
+            for name, values in (("flush", np.asarray(kind == FLUSH, bool)), ("photo", photo), ("usable", photo & seen),
+                                 *((c, part[c].to_numpy().copy()) for c in ("chat", "sender", "key", "ms", "bytes"))):
+                held[name].append(values)
+        self.columns = {c: np.concatenate(v) if v else np.empty(0) for c, v in held.items()}
+        self.order = np.lexsort((self.columns["key"], self.columns["ms"], self.columns["flush"]))
+
+    def __iter__(self) -> Iterator[Message]:
+        names = Message._fields
+        for i in self.order:
+            yield Message(*[self.columns[c][i] for c in names])
+
+
+class Message(NamedTuple):
+    chat: Any
+    sender: Any
+    key: Any
+    ms: Any
+    bytes: Any
+    flush: bool
+    photo: bool
+    usable: bool
+
+
 class AlbumProcessor(StatefulProcessor):
     """The open albums of one shard."""
 
@@ -57,16 +92,18 @@ class AlbumProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = int(timerValues.getCurrentProcessingTimeInMs())
-        batch = sorted((m for part in rows for m in part.itertuples(index=False)),
-                       key=lambda m: (m.kind == FLUSH, m.ms, m.key))  # one shard's messages of one trigger
+        batch = Arrivals(rows)
         held, out, changed = self.load(), [], set()
         ended = {w: v[0] for w, v in ((tuple(w), v) for w, v in self.closed_at.iterator())}
         for m in batch:
-            if m.kind == FLUSH:
+            if len(out) >= ROWS_OUT:
+                yield records(out)
+                out = []
+            if m.flush:
                 for who in sorted(held):
                     out.append(self.end(who, held, ended, changed))
                 break
-            who, photo = (int(m.chat), int(m.sender)), m.kind == "image"
+            who, photo = (int(m.chat), int(m.sender)), bool(m.photo)
             album = held.get(who)
             if album and m.key in album.keys:
                 continue
@@ -83,12 +120,12 @@ class AlbumProcessor(StatefulProcessor):
             album.keys[int(m.key)] = None
             album.images += photo
             album.bytes += int(m.bytes) if photo else 0
-            album.usable |= bool(photo and not m.missing)
+            album.usable |= bool(m.usable)
             album.last_ms, album.last_seen = max(album.last_ms, int(m.ms)), now
             changed.add(who)
         self.store(held, ended, changed)
         if out:
-            yield pd.DataFrame([{**EMPTY, **r} for r in out])
+            yield records(out)
 
     def joins(self, a: Album, m, photo: bool) -> bool:
         fits = m.ms - a.last_ms <= self.idle_ms and m.ms - a.first_ms <= self.span_ms
@@ -104,7 +141,7 @@ class AlbumProcessor(StatefulProcessor):
             out.append(self.end(who, held, ended, changed))
         self.store(held, ended, changed)
         if out:
-            yield pd.DataFrame([{**EMPTY, **r} for r in out])
+            yield records(out)
 
     def load(self) -> dict[tuple, Album]:
         return {tuple(w): Album(*v[:7], dict.fromkeys(v[7])) for w, v in self.albums.iterator()}
@@ -140,6 +177,10 @@ class AlbumProcessor(StatefulProcessor):
 EMPTY = dict.fromkeys(c.split()[0] for c in OUTPUT.split(", "))
 
 
+def records(out: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame([{**EMPTY, **r} for r in out])
+
+
 def stream_albums(messages: DataFrame, rules: AlbumRules = AlbumRules(), shards: int = 64, max_open: int = MAX_OPEN,
                   grace_ms: int = GRACE_MS) -> DataFrame:
     """Records of a streaming DataFrame with chat, sender, key, ms, kind, bytes, missing: `album` for a closed album,
