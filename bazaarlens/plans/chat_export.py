@@ -198,6 +198,6 @@ def list_media(spark, folder):
     path = fresh_path(spark, "media")
     name = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html"))
     pages = t.load_table(spark, folder, "pages").select(F.col("html").alias("value"), name.alias("name"))
-    pages.repartition("name").write.partitionBy("name").text(path)
+    files.write_each(pages, "name", path)
     listed = files.list_media(spark, path, name=F.regexp_extract("path", "/name=([^/]+)/", 1))
     return files.checked_media(listed, lazy=True, max_bytes=MEDIA_BYTES).select("name", "length", "reject_reason")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from bazaarlens.operators import chunked
 from bazaarlens.operators.screening import MAX_FILE_BYTES, media_verdict
+from bazaarlens.sources.tables import dealt
 
 # Marks that chat exports put around text, spaces that stand for a plain one, the attribution header and
 # the slug form.
@@ -15,6 +16,7 @@ BIDI_MARKS = "[﻿‎‏‪-‮⁦-⁩]"
 ODD_SPACES = "  "
 ATTRIBUTION = ("file", "sha256", "source_url", "author", "license", "license_url", "notes")
 SLUG = r"^[a-z0-9][a-z0-9-]{1,60}$"
+SHARDS = 64
 
 MANIFEST = T.StructType([
     T.StructField("version", T.IntegerType()),
@@ -57,6 +59,17 @@ def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
                            ).unionByName(tail)
 
 
+def write_each(rows: DataFrame, name: str, path: str, shards: int = SHARDS) -> None:
+    """The text in `value` of every `name` as a file in a folder name=... of its own.
+
+    The folders lie in shards, so that a listing is a task per shard and not one per file, and tasks move their files into
+    place themselves, since a job that does so at its end takes them one by one. The path must be new: a run that fails
+    leaves what was moved."""
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64(name), F.lit(shards)).cast("int"))
+    (dealt(placed, name).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("shard", name).text(path))
+
+
 def list_media(spark: SparkSession, path: str, glob: str | None = None, name: Column | None = None) -> DataFrame:
     """Name, path, size of every file below a folder. Content is not read unless a later step asks for it. The name is the
     file's own, or what `name` makes of the path."""
