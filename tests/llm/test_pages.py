@@ -2,11 +2,12 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
 from bazaarlens.llm import boilerplate, markup
-from bazaarlens.session import cut_lineage
+from bazaarlens.session import cut_lineage, shared_dir
 
 SCHEMA = "page_id long, url string, html string, text string, n_chars string"
 
@@ -140,3 +141,42 @@ def test_edges(spark):
     assert by[5] == [("word & " * 200_000).strip()] * 2
     empty = boilerplate.main_text(spark.createDataFrame([], SCHEMA))
     assert empty.columns == ["page_id", "url", "text", "n_chars", "n_repeated"] and empty.count() == 0
+
+
+def unlike_pages(r, n, words):
+    return [(i, "http://a.example/", f"<article><p>{sentence(r, words)}</p></article>") for i in range(n)]
+
+
+def on_disk(spark):
+    """Bytes of all files in the shared folder and of all shuffle files."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    return (sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+            + sum(p.stat().st_size for d in blocks for p in Path(d).rglob("shuffle_*.data") if p.is_file()))
+
+
+def test_disk_stays_below_the_text(spark):
+    """Words that do not repeat are kept once, compressed, and their windows travel as differences of short keys."""
+    rows = unlike_pages(random.Random(7), 1000, 400)
+    before = on_disk(spark)
+    assert all(x["n_repeated"] == 0 for x in texts(spark, rows))
+    assert on_disk(spark) - before < 1.2 * sum(len(h) for _, _, h in rows)
+
+
+def test_packs_and_ranges_change_nothing(spark, monkeypatch):
+    """Copies, articles and open blocks over many packs and key ranges, with a first round that tells nothing apart."""
+    r = random.Random(8)
+    parts = [sentence(r, r.choice([6, 8, 20])) for _ in range(8)]
+    rows = []
+    for i in range(200):
+        ps = [r.choice(parts) if r.random() < 0.5 else sentence(r, r.choice([2, 9, 30])) for _ in range(r.randrange(7))]
+        body = "".join(r.choice(["<div>{}</div>", "<nav>{}</nav>", "<li><a href=x>{}</a></li>"]).format(p) for p in ps)
+        body += f"<article>{r.choice(parts)} {sentence(r, 9)}</article>" if i % 3 == 0 else ""
+        rows.append((i, r.choice(["http://a.example/", "http://b.example/", None]), body))
+    rows += [(1000 + i, *r.choice(rows)[1:]) for i in range(100)] + rows[:5]
+    df = spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)
+    one = boilerplate.main_text(df.coalesce(1)).collect()
+    monkeypatch.setattr(boilerplate, "TABLE_ROWS", 300)
+    monkeypatch.setattr(boilerplate, "SPARE_BITS", -8)
+    many = boilerplate.main_text(df.repartition(9)).collect()
+    assert Counter(map(tuple, one)) == Counter(map(tuple, many)) and any(x["n_repeated"] for x in one)
