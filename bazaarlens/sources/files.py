@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +22,7 @@ ODD_SPACES = "  "
 ATTRIBUTION = ("file", "sha256", "source_url", "author", "license", "license_url", "notes")
 SLUG = r"^[a-z0-9][a-z0-9-]{1,60}$"
 SHARDS = 64
+NOT_IN_FOLDERS = {*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"}
 
 MANIFEST = T.StructType([
     T.StructField("version", T.IntegerType()),
@@ -62,12 +68,52 @@ def read_chat_lines(spark: SparkSession, path: str) -> DataFrame:
 def write_each(rows: DataFrame, name: str, path: str, shards: int = SHARDS) -> None:
     """The text in `value` of every `name` as a file in a folder name=... of its own.
 
-    The folders lie in shards, so that a listing is a task per shard and not one per file, and tasks move their files into
-    place themselves, since a job that does so at its end takes them one by one. The path must be new: a run that fails
-    leaves what was moved."""
+    The folders lie in shards, so that a listing is a task per shard and not one per file. Where the shared folder is one of
+    the machine's file system, tasks write the files there themselves: Spark's writer starts a process per file to set its
+    mode, and moves every file into place. Elsewhere Spark writes, and tasks move their files. The path must be new: a run
+    that fails leaves what was written."""
     placed = rows.withColumn("shard", F.pmod(F.xxhash64(name), F.lit(shards)).cast("int"))
-    (dealt(placed, name).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-     .partitionBy("shard", name).text(path))
+    local = _local(rows.sparkSession, path)
+    if local is None:
+        (dealt(placed, name).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("shard", name).text(path))
+        return
+    ordered = dealt(placed.select("shard", F.col(name).cast("string").alias("name"), "value"), "name").sortWithinPartitions("shard", "name")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written, file, at = 0, None, None
+        try:
+            for batch in batches:
+                for shard, own, value in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    if file is None or own != at:
+                        if file is not None:
+                            file.close()
+                        folder = f"{local}/shard={shard}/{name}={_escaped(own)}"
+                        os.makedirs(folder, exist_ok=True)
+                        file, at = open(f"{folder}/part.txt", "wb"), own  # a task that is tried again writes the same
+                        written += 1
+                    file.write((value or "").encode() + b"\n")
+        finally:
+            if file is not None:
+                file.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+
+    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+
+
+def _escaped(value: str | None) -> str:
+    """A partition value as Spark names its folder."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in NOT_IN_FOLDERS else c for c in value)
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path in the machine's file system if Spark's readers find it there, or none."""
+    probe = f"{path}/_where"  # a name that no listing shows
+    spark.range(1).select(F.lit("").alias("value")).write.text(probe)
+    found = urlparse(spark.read.text(probe).select("_metadata.file_path").first()[0])
+    return unquote(found.path).rsplit("/_where/", 1)[0] if found.scheme == "file" and found.netloc == "" else None
 
 
 def list_media(spark: SparkSession, path: str, glob: str | None = None, name: Column | None = None) -> DataFrame:
