@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import cells, matching, reposts
+from bazaarlens.operators import blocks, cells, matching, reposts
 
 
 def clustered(seed, n, dims=16, centres=40, noise=0.05):
@@ -101,3 +101,54 @@ def test_nothing_to_meet(spark):
     assert matching.nearest(queries, frame.limit(0), 3, query_id="q").count() == 0
     assert matching.nearest(queries.limit(0), frame, 3, query_id="q").count() == 0
     assert isinstance(matching.nearest(queries, frame, 3, query_id="q").toPandas(), pd.DataFrame)
+
+
+def scattered(seed, n, dims=64):
+    v = np.random.default_rng(seed).standard_normal((n, dims))
+    v[1:4] = v[4] + 0.01 * v[1:4]
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_no_copy_per_cell_where_cells_skip_nothing(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SAMPLED", 1)
+    v = scattered(8, 600)
+    frame = listings(spark, v)[0].withColumn("seller", F.col("listing_id") % 2)
+    left, right = cells.meet_within(frame.select("listing_id", "seller", "embedding"), frame.select(
+        "listing_id", "seller", F.col("embedding").alias("other")), ["seller"], "embedding", "other", cells.reach_of(0.88), 8)
+    assert left.count() == right.count() == 600
+    got = {r["cos_from"]: r["pairs"] for r in reposts.cosine_bands(frame, [(0.3, 0.5), (0.5, 1.01)], rows_per_pivot=8).collect()}
+    cos, at = np.round(v @ v.T, 6), np.arange(600)
+    both = (at[:, None] % 2 == at[None, :] % 2) & (at[:, None] < at[None, :])
+    assert got == {lo: int((both & (cos >= lo) & (cos < hi)).sum()) for lo, hi in ((0.3, 0.5), (0.5, 1.01))}
+
+
+def test_nearest_meets_blocks_where_cells_skip_nothing(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SAMPLED", 1)
+    met, join = [], blocks.block_join
+    monkeypatch.setattr(blocks, "block_join", lambda a, b, keys, *more, **named: met.append(keys) or join(a, b, keys, *more, **named))
+    v = scattered(9, 700)
+    frame = listings(spark, v)[0].withColumn("owner_session", F.lit(None).cast("string"))
+    queries = frame.where("listing_id < 60").select(F.col("listing_id").alias("q"), F.col("embedding").alias("query_vec"))
+    got = matching.nearest(queries, frame, 5, query_id="q", descending_id=True, rows_per_pivot=8).toPandas()
+    cos, at, want = np.round(v[:60] @ v.T, 6), np.arange(700), []
+    for i in range(60):
+        want += [(i, int(j), p + 1) for p, j in enumerate(sorted(at, key=lambda j: (-cos[i, j], -j))[:5])]
+    assert sorted(got[["q", "listing_id", "place"]].itertuples(index=False, name=None)) == sorted(want)
+    assert met == [["cell"], ["_all"]]
+
+
+def test_products_in_single_precision_change_nothing(monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", (7, 32))
+    v, w = scattered(10, 50, 8), np.vstack([scattered(11, 120, 8), scattered(10, 50, 8)])
+    a, b = (blocks.Vectors(pd.Series(list(3 * x))) for x in (v, w))
+    cos = np.round(v @ w.T, 6)
+    got = [np.concatenate(x) for x in zip(*blocks.near_pairs(a, b, 0.5))]
+    assert sorted(zip(*(x.tolist() for x in got[:2]))) == sorted(zip(*(x.tolist() for x in np.nonzero(cos >= 0.5))))
+    assert np.array_equal(got[2], cos[got[0], got[1]])
+    ids, allowed = np.arange(170) % 60, lambda r, c: (r + c) % 3 > 0
+    for k, least in ((3, -2.0), (40, -2.0), (200, 0.1)):
+        r, c, score = blocks.best_pairs(a, b, ids, k, allowed, np.full(50, least))
+        for i in range(50):
+            fits = [j for j in range(170) if (i + j) % 3 and cos[i, j] >= least]
+            want = sorted(((-cos[i, j], int(ids[j])) for j in fits))[:k]
+            assert sorted(zip((-score[r == i]).tolist(), ids[c[r == i]].tolist())) == want
